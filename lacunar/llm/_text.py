@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -73,11 +75,11 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word of the rows that begin at `at`."""
+def words(data: np.ndarray, at: np.ndarray, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word of the rows that begin at `at`; letters: of each run of ASCII letters, digits and bytes beyond ASCII."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    solid = ~_SPACE[data]
+    solid = _LETTER[data] if letters else ~_SPACE[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()
@@ -107,9 +109,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, at: np.ndarray, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each lower-cased word."""
-    starts, ends, rows = words(data, at)
+    starts, ends, rows = words(data, at, letters)
     return span_hashes(lowered(data), starts, ends), rows
 
 

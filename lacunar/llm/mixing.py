@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacunar.llm._dist import running_total, salt, stored
-from lacunar.llm._text import mix, word_counts
+from lacunar.llm._text import mix, word_counts, words
 
 BLOCK = 32
 SHARD_SLOTS = 8192
@@ -64,17 +64,19 @@ def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (number of words) of each row."""
+    """doc_id, source, key (a hash of the text), size (number of words) of each row."""
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), pa.array(word_counts(b.column(2)))], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(word_counts(b.column(3)))], ["doc_id", "source", "key", "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(sized, "doc_id long, source string, size long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(sized, "doc_id long, source string, key long, size long")
 
 
-def mixture(sizes: DataFrame, seed: int = 17, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame]:
-    """The documents with source_size, target, taken; and the slots (shard, sid, slot, block) that make up the mix.
+def mixture(sizes: DataFrame, seed: int = 17, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents with source_size, target, taken; the slots (shard, sid, slot, block) that make up the mix; and
+    the parts of documents that it reads (doc_id, key, first word, words, reads).
 
     Rows without words take part with size 0 and are never taken. A null source is a source of its own,
     the last. Repeated rows are documents of their own. The driver holds one row per source.
@@ -124,16 +126,52 @@ def mixture(sizes: DataFrame, seed: int = 17, block: int = BLOCK, shard_slots: i
 
     docs = sizes.join(known, sizes["source"].eqNullSafe(known["_source"])).drop("_source")
     chunks = 1 + sum(r["rows"] for r in per_source) // CHUNK_DOCS
-    laid = running_total(docs.withColumn("_c", salt(chunks, "doc_id")), ["sid"], "_c", ["doc_id", "size"], F.col("size"), "begin")
+    laid = running_total(docs.withColumn("_c", salt(chunks, "doc_id")), ["sid"], "_c", ["doc_id", "key"], F.col("size"), "begin")
     laid = stored(laid.withColumn("_row", F.monotonically_increasing_id()).drop("_c"), "laid")
-    parts = laid.where("size > 0").select("_row", "sid", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block"))
-    parts = parts.select("_row", "sid", "block", (F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block)).alias("words"))
+    parts = laid.where("size > 0").select("_row", "doc_id", "key", "sid", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block"))
+    first_word = F.greatest(F.col("begin"), F.col("block") * block) - F.col("begin")
+    parts = parts.select("_row", "doc_id", "key", "sid", "block", first_word.alias("first"), (F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block)).alias("words"))
     reads = slots.groupBy("sid", "block").agg(F.count("*").alias("reads"))
-    taken = parts.join(reads, ["sid", "block"]).groupBy("_row").agg(F.sum(F.col("words") * F.col("reads")).alias("taken"))
+    parts = parts.join(reads, ["sid", "block"])
+    taken = parts.groupBy("_row").agg(F.sum(F.col("words") * F.col("reads")).alias("taken"))
     out = laid.join(taken, "_row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "begin", "sid"), slots
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken"), slots, parts.select("doc_id", "key", "first", "words", "reads")
 
 
 def mix_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     return mixture(sizes_of(docs), seed, **options)[0].select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_texts(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
+    """The mix itself: docs with text replaced by the words that the mix takes, parts that it reads again after a line break.
+
+    A document of which nothing is taken is left out. Rows alike in doc_id and text are one, with all that is
+    taken of them.
+    """
+    parts = mixture(sizes_of(docs), seed, **options)[2]
+    # as many entries as the document has blocks
+    lists = parts.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("first", "words", "reads"))).alias("parts"))
+    lists = lists.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "parts")
+    keyed = docs.withColumn("_k", F.xxhash64(F.col("text").cast("string")))
+    met = keyed.join(lists, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key"))).dropDuplicates(["_id", "_key"])
+    at = docs.columns.index("text")
+    out = met.select(*docs.columns, F.col("parts.first").alias("_f"), F.col("parts.words").alias("_w"), F.col("parts.reads").alias("_r"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for text, firsts, counts, reads in zip(b.column(at).to_pylist(), *(c.to_pylist() for c in b.columns[-3:])):
+                raw = text.encode()
+                starts = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+                starts = np.append(starts, len(raw))
+                rounds = []
+                for r in range(1, max(reads) + 1):
+                    spans = [raw[starts[f] : starts[min(f + n, len(starts) - 1)]] for f, n, m in zip(firsts, counts, reads) if m >= r]
+                    rounds.append(b"".join(spans).rstrip())
+                texts.append(b"\n".join(rounds).decode())
+            columns = list(b.columns[:-3])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+
+    return out.mapInArrow(cut, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacunar.llm import fingerprints, lines, mixing, near, packing, topk
+from lacunar.llm import fingerprints, lines, lm, mixing, near, packing, quality, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
     return made.select(
@@ -33,6 +37,14 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(rows, rows.where("id % 100 = 0"))
@@ -58,7 +70,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_fingerprints": op2_fingerprints,
+        "op4_quality": op4_quality,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_exact_topk": op6_exact_topk,
         "op7_line_dedup": op7_line_dedup,
         "op8_ngram_jaccard": op8_ngram_jaccard,
