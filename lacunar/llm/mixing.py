@@ -155,7 +155,8 @@ def mixed_texts(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     lists = lists.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "parts")
     keyed = docs.withColumn("_k", F.xxhash64(F.col("text").cast("string")))
     met = keyed.join(lists, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key"))).dropDuplicates(["_id", "_key"])
-    at = docs.columns.index("text")
+    names = docs.columns
+    at = names.index("text")
     out = met.select(*docs.columns, F.col("parts.first").alias("_f"), F.col("parts.words").alias("_w"), F.col("parts.reads").alias("_r"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +173,6 @@ def mixed_texts(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
                 texts.append(b"\n".join(rounds).decode())
             columns = list(b.columns[:-3])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return out.mapInArrow(cut, docs.schema)
