@@ -69,21 +69,35 @@ class Bands:
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, sizes, "right") - 1
 
-    def parts(self, band: np.ndarray) -> np.ndarray:
-        """One more than the number of shingles in which a pair can differ whose smaller set is in the band."""
+    def parts(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(d, m) of each band: in how many shingles a pair can differ whose smaller set is in the band, and how many parts to make.
+
+        More than d + 1 parts are made so that m - d of them are the same in both sets of a similar pair, of
+        which few sets have all weak, that is with at most `weak` shingles, which say little.
+        """
         largest = self.edges[band + 1] - 1
-        return np.floor(largest * (1 - self.share) / self.share + 1e-9).astype(np.int64) + 1
+        d = np.floor(largest * (1 - self.share) / self.share + 1e-9).astype(np.int64)
+        return d, np.where(d > 0, d + 3 + -(-d // 10), 0)
+
+    @property
+    def weak(self) -> int:
+        """Parts of a set of n shingles have about 0.9 * share / (1 - share) on average."""
+        return 2 if self.share >= 0.88 else 1 if self.share >= 0.84 else 0
 
 
 def signatures(h: np.ndarray, rows: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(part signature, row): for each row as the smaller or like, and as the larger one of a pair."""
+    """(part signature, row): for each row as the smaller or like, and as the larger one of a pair.
+
+    A set with fewer weak parts than a similar pair has parts in common leaves them out: one of the parts in
+    common isn't weak then, whatever the other set does.
+    """
     out_sig, out_row = [], []
     own = bands.of(np.maximum(sizes, 1))
     for back in (0, 1):
         home = own - back
         ok = (home >= 0) & (sizes > 0)
-        m = np.where(ok, bands.parts(np.maximum(home, 0)), 0)
-        m[m < 2] = 0  # no part: only equal sets are similar
+        d, m = bands.parts(np.maximum(home, 0))
+        d, m = np.where(ok, d, 0), np.where(ok, m, 0)  # no part: only equal sets are similar
         base = np.concatenate([[0], np.cumsum(m)])
         use = m[rows] > 0
         hu, ru = h[use], rows[use]
@@ -91,10 +105,13 @@ def signatures(h: np.ndarray, rows: np.ndarray, sizes: np.ndarray, bands: Bands)
         part = base[ru] + (salted % m[ru].astype(np.uint64)).astype(np.int64)
         total = group_sums(mix(salted), part, int(base[-1]))
         row = np.repeat(np.arange(len(sizes)), m)
+        weak = np.bincount(part, minlength=int(base[-1])) <= bands.weak
+        safe = np.bincount(row, weights=weak, minlength=len(sizes)) < m - d
+        keep = ~(weak & safe[row])
         index = np.arange(len(row)) - base[row]
         tag = home[row].astype(np.uint64) * np.uint64(0x100000001B3) + index.astype(np.uint64)
-        out_sig.append(mix(total + mix(tag)).view(np.int64))
-        out_row.append(row)
+        out_sig.append(mix(total + mix(tag)).view(np.int64)[keep])
+        out_row.append(row[keep])
     return np.concatenate(out_sig), np.concatenate(out_row)
 
 
@@ -211,11 +228,11 @@ def near_groups(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
     texts = docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi").select("doc_id", "text")
     arrays = texts.mapInArrow(as_sets, "rep long, node long, shingles array<long>").select("node", "shingles")
     placed = dealt.withColumn("t", F.explode(F.concat(same, up, down))).select("node", "grp", "t.*")
-    full = placed.join(arrays.dropDuplicates(["node"]), "node")
+    full = placed.join(arrays, "node")
 
     def joined(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        nodes = t.column("node").to_numpy()
+        nodes, one = np.unique(t.column("node").to_numpy(), return_index=True)  # rows repeated under one doc_id
+        t = t.take(pa.array(one)).combine_chunks()
         flat = t.column("shingles").chunk(0)
         at = flat.offsets.to_numpy()
         values = flat.values.to_numpy().view(np.uint64)
