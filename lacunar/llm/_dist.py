@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are no longer used, now that their result is stored."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def salt(n: int, *columns: str) -> Column:
     """A number from 0 to n - 1 that depends on the columns alone, the same at each rerun."""
     return F.pmod(F.xxhash64(*columns), F.lit(max(1, n)))

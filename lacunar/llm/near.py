@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacunar.llm._dist import components, stored
+from lacunar.llm._dist import components, release, stored
 from lacunar.llm._text import mix, shingle_hashes, slices, word_hashes
 
 #: A tile's block holds about so many shingles, so a task's memory is bounded for sets of any size.
@@ -70,45 +70,60 @@ class Bands:
         return np.searchsorted(self.edges, sizes, "right") - 1
 
     def parts(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(d, m) of each band: in how many shingles a pair can differ whose smaller set is in the band, and how many parts to make.
+        """Of each band: how many groups at most two similar sets can spoil whose smaller is in the band, and how many groups to make.
 
-        More than d + 1 parts are made so that m - d of them are the same in both sets of a similar pair, of
-        which few sets have all weak, that is with at most `weak` shingles, which say little.
+        A group of one part is spoilt by a shingle that only one of the sets has; a group of three parts by
+        two such shingles, as each of its signatures leaves one part out. More groups are made than can be
+        spoilt, so that few sets have as many weak ones, that is with signatures of at most `weak` shingles,
+        which say little.
         """
         largest = self.edges[band + 1] - 1
         d = np.floor(largest * (1 - self.share) / self.share + 1e-9).astype(np.int64)
-        return d, np.where(d > 0, d + 3 + -(-d // 10), 0)
+        spoilt = d if self.split == 1 else d // 2
+        return spoilt, np.where(d > 0, spoilt + 3 + -(-spoilt // 10), 0)
+
+    @property
+    def split(self) -> int:
+        """Parts a group; the lower the share, the smaller a part of one would be: about 0.9 * share / (1 - share) shingles."""
+        return 1 if self.share >= 0.88 else 3
 
     @property
     def weak(self) -> int:
-        """Parts of a set of n shingles have about 0.9 * share / (1 - share) on average."""
-        return 2 if self.share >= 0.88 else 1 if self.share >= 0.84 else 0
+        return 2 if self.split == 1 else 0
 
 
 def signatures(h: np.ndarray, rows: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(part signature, row): for each row as the smaller or like, and as the larger one of a pair.
+    """(signature, row): for each row as the smaller or like, and as the larger one of a pair.
 
-    A set with fewer weak parts than a similar pair has parts in common leaves them out: one of the parts in
-    common isn't weak then, whatever the other set does.
+    A set with fewer weak groups than a similar pair has unspoilt ones leaves their signatures out: one of the
+    unspoilt groups isn't weak then, whatever the other set does.
     """
     out_sig, out_row = [], []
     own = bands.of(np.maximum(sizes, 1))
     for back in (0, 1):
         home = own - back
         ok = (home >= 0) & (sizes > 0)
-        d, m = bands.parts(np.maximum(home, 0))
-        d, m = np.where(ok, d, 0), np.where(ok, m, 0)  # no part: only equal sets are similar
+        spoilt, m = bands.parts(np.maximum(home, 0))
+        spoilt, m = np.where(ok, spoilt, 0), np.where(ok, m, 0)  # no group: only equal sets are similar
         base = np.concatenate([[0], np.cumsum(m)])
+        n = int(base[-1])
         use = m[rows] > 0
         hu, ru = h[use], rows[use]
         salted = mix(hu + home[ru].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        part = base[ru] + (salted % m[ru].astype(np.uint64)).astype(np.int64)
-        total = group_sums(mix(salted), part, int(base[-1]))
+        group = base[ru] + (salted % m[ru].astype(np.uint64)).astype(np.int64)
+        value = mix(salted)
+        total = group_sums(value, group, n)
+        count = np.bincount(group, minlength=n)
+        if bands.split > 1:
+            part = group * bands.split + ((value >> np.uint64(40)) % np.uint64(bands.split)).astype(np.int64)
+            total = (total[:, None] - group_sums(value, part, n * bands.split).reshape(n, -1)).ravel()
+            count = (count[:, None] - np.bincount(part, minlength=n * bands.split).reshape(n, -1)).ravel()
         row = np.repeat(np.arange(len(sizes)), m)
-        weak = np.bincount(part, minlength=int(base[-1])) <= bands.weak
-        safe = np.bincount(row, weights=weak, minlength=len(sizes)) < m - d
+        weak = count <= bands.weak
+        safe = np.bincount(row, weights=weak.reshape(n, -1).any(1), minlength=len(sizes)) < m - spoilt
+        row = np.repeat(row, bands.split)
         keep = ~(weak & safe[row])
-        index = np.arange(len(row)) - base[row]
+        index = np.arange(len(row)) - base[row] * bands.split
         tag = home[row].astype(np.uint64) * np.uint64(0x100000001B3) + index.astype(np.uint64)
         out_sig.append(mix(total + mix(tag)).view(np.int64)[keep])
         out_row.append(row[keep])
@@ -197,7 +212,9 @@ def near_groups(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
     rows = docs.select("text").mapInArrow(signed, "sig long, node long")
     head = F.min("node").over(Window.partitionBy("sig"))
     met = rows.withColumn("a", head).where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    groups = components(stored(met, "met")).withColumnRenamed("component", "grp")
+    met = stored(met, "met")
+    release(docs.sparkSession)
+    groups = components(met).withColumnRenamed("component", "grp")
 
     edge = F.floor(F.log(F.col("n").cast("double")) / math.log(band_ratio(share)) + 1e-9).cast("int")
     members = stored(groups.join(classes, "node").withColumn("band", edge), "members")
