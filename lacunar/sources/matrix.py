@@ -52,7 +52,7 @@ class Matrix:
 def from_cells(cells: DataFrame, sample: str = "sample", feature: str = "feature", value: str = "value", location: str | None = None) -> Matrix:
     """From long cells; absent cells are missing. Features are in order of location, then name; of repeated cells one value is used."""
     place = F.first(F.col(location).cast("double"), True) if location else F.lit(None).cast("double")
-    cells = cells.select(F.col(sample).alias("s"), F.col(feature).alias("f"), clean(F.col(value)).alias("v"), *([F.col(location)] if location else []))
+    cells = cells.select(F.col(sample).alias("s"), F.col(feature).alias("f"), clean(F.col(value)).alias("v"), *([F.col(location)] if location else [])).where("s is not null and f is not null").dropDuplicates(["s", "f"])
     samples = [r["s"] for r in cells.select("s").distinct().orderBy("s").collect()]
     ids = cells.sparkSession.createDataFrame([(s, i) for i, s in enumerate(samples)], cells.select(F.col("s").alias("s2"), F.lit(0).alias("i")).schema) if samples else None
     if ids is None:
