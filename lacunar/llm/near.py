@@ -181,6 +181,15 @@ def linked(sets: list[np.ndarray], nodes: np.ndarray, left: np.ndarray, right: n
     return out
 
 
+def candidates(rows: DataFrame) -> DataFrame:
+    """(a, b): each class b and the least one a that has one of its signatures, from (sig, node).
+
+    A function of its own, so that nothing holds the largest shuffle's files when it is over.
+    """
+    head = F.min("node").over(Window.partitionBy("sig"))
+    return stored(rows.withColumn("a", head).where("node <> a").select("a", F.col("node").alias("b")).distinct(), "met")
+
+
 def near_groups(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links (Jaccard similarity of at least share) reach.
 
@@ -209,10 +218,7 @@ def near_groups(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
 
     sets = stored(docs.mapInArrow(classed, "doc_id long, n long, node long"), "sets")
     classes = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    rows = docs.select("text").mapInArrow(signed, "sig long, node long")
-    head = F.min("node").over(Window.partitionBy("sig"))
-    met = rows.withColumn("a", head).where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    met = stored(met, "met")
+    met = candidates(docs.select("text").mapInArrow(signed, "sig long, node long"))
     release(docs.sparkSession)
     groups = components(met).withColumnRenamed("component", "grp")
 
