@@ -22,8 +22,8 @@ from lacunar.sources.matrix import Matrix
 BLOCK = 1024
 
 
-def _matrix(t: pa.Table) -> np.ndarray:
-    flat = t.column("vals").combine_chunks()
+def _matrix(t: pa.Table, column: str = "vals") -> np.ndarray:
+    flat = t.column(column).combine_chunks()
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).T.astype(float)
 
 
@@ -45,14 +45,14 @@ def neighbours(m: Matrix, k: int, subset: list | None = None, colmax: float = 0.
         raise InfeasibleError("no eligible column has missing values")
     cb, tb = -(-n // BLOCK), -(-p_target // BLOCK)
     others = known.select(F.pmod(F.xxhash64("col_idx"), F.lit(cb)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(tb - 1))).alias("t"), "col_idx", "role", "vals")
-    targets = known.where("role = 1").select(F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("c"), F.pmod(F.xxhash64("col_idx"), F.lit(tb)).cast("int").alias("t"), "col_idx", "vals")
+    targets = known.where("role = 1").select(F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("c"), F.pmod(F.xxhash64("col_idx"), F.lit(tb)).cast("int").alias("t"), F.col("col_idx").alias("target"), F.col("vals").alias("target_vals"))
 
     def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
         found: list[list] = [[], [], [], []]
         if a.num_rows and b.num_rows:
             x, ids, role = _matrix(a), a.column("col_idx").to_numpy(), a.column("role").to_numpy()
-            y = _matrix(b)
-            for j, t in enumerate(b.column("col_idx").to_pylist()):
+            y = _matrix(b, "target_vals")
+            for j, t in enumerate(b.column("target").to_pylist()):
                 d = distances(y[:, j], x, method)
                 at = np.lexsort((ids, role, d))
                 at = at[ids[at] != t][:k]
