@@ -351,7 +351,7 @@ def score_documents(docs: DataFrame, outputs: int = OUTPUTS, hidden: int = HIDDE
                 rest_n = np.bincount(rows, weights=rest, minlength=n)
                 rest_top = np.bincount(rows, weights=logs * rest, minlength=n)
                 net = document_scores(p, rows, ids, n) / np.log(10)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(1).slice(i, n), *(pa.array(x) for x in (count, known.astype(np.int64), top, rest_n.astype(np.int64), rest_top, net))], ["doc_id", "key", "words", "known", "logs", "rest", "rest_logs", "net"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(1).slice(i, n), *(pa.array(x) for x in (count, known.astype(np.int64), top.astype(float), rest_n.astype(np.int64), rest_top.astype(float), net))], ["doc_id", "key", "words", "known", "logs", "rest", "rest_logs", "net"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, _ = shared.value

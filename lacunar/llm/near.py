@@ -116,11 +116,11 @@ def signatures(h: np.ndarray, rows: np.ndarray, sizes: np.ndarray, bands: Bands)
         count = np.bincount(group, minlength=n)
         if bands.split > 1:
             part = group * bands.split + ((value >> np.uint64(40)) % np.uint64(bands.split)).astype(np.int64)
-            total = (total[:, None] - group_sums(value, part, n * bands.split).reshape(n, -1)).ravel()
-            count = (count[:, None] - np.bincount(part, minlength=n * bands.split).reshape(n, -1)).ravel()
+            total = (total[:, None] - group_sums(value, part, n * bands.split).reshape(n, bands.split)).ravel()
+            count = (count[:, None] - np.bincount(part, minlength=n * bands.split).reshape(n, bands.split)).ravel()
         row = np.repeat(np.arange(len(sizes)), m)
         weak = count <= bands.weak
-        safe = np.bincount(row, weights=weak.reshape(n, -1).any(1), minlength=len(sizes)) < m - spoilt
+        safe = np.bincount(row, weights=weak.reshape(n, bands.split).any(1), minlength=len(sizes)) < m - spoilt
         row = np.repeat(row, bands.split)
         keep = ~(weak & safe[row])
         index = np.arange(len(row)) - base[row] * bands.split

@@ -54,7 +54,7 @@ class Model:
 
 
 def grades(words: np.ndarray, rows: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    n, t = len(toxic), max(1, int(toxic.sum()))
+    n, t = len(toxic), int(toxic.sum())
     in_toxic = np.bincount(words, weights=toxic[rows], minlength=BUCKETS)
     in_all = np.bincount(words, minlength=BUCKETS)
     lean = np.log((in_toxic + 0.5) / (t + 1)) - np.log((in_all - in_toxic + 0.5) / (n - t + 1))
