@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacunar.llm._dist import components, release, stored
@@ -25,6 +25,8 @@ from lacunar.llm._text import mix, shingle_hashes, slices, word_hashes
 #: A tile's block holds about so many shingles, so a task's memory is bounded for sets of any size.
 BLOCK_SHINGLES = 1 << 20
 BLOCK_CLASSES = 2048
+#: Signatures are dealt to parts of about so many, each sorted in memory at once.
+PART_SIGNATURES = 1 << 21
 
 
 def sets_of(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -87,6 +89,11 @@ class Bands:
         """Parts a group; the lower the share, the smaller a part of one would be: about 0.9 * share / (1 - share) shingles."""
         return 1 if self.share >= 0.88 else 3
 
+    def most_signatures(self, shingles: int, sets: int) -> float:
+        """About how many signatures sets of so many shingles in all have at most."""
+        spoilt = shingles * self.ratio * (1 - self.share) / self.share / (1 if self.split == 1 else 2)
+        return 2 * self.split * (1.1 * spoilt + 4 * sets)
+
     @property
     def weak(self) -> int:
         return 2 if self.split == 1 else 0
@@ -181,13 +188,60 @@ def linked(sets: list[np.ndarray], nodes: np.ndarray, left: np.ndarray, right: n
     return out
 
 
+def packed(sig: np.ndarray, node: np.ndarray, parts: int) -> pa.RecordBatch:
+    """One row per part that has signatures: its nodes, how many signatures each has, and the signatures' low 48 bits.
+
+    A part is chosen by other bits than the low ones, and holds few enough signatures for these to tell them apart;
+    two that agree by chance only make a candidate more.
+    """
+    part = (mix(sig.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
+    by = np.lexsort((node, part))
+    part, node, sig = part[by], node[by], sig[by]
+    first = np.ones(len(part), bool)
+    first[1:] = part[1:] != part[:-1]
+    row = np.append(np.flatnonzero(first), len(part))
+    first[1:] |= node[1:] != node[:-1]
+    run = np.append(np.flatnonzero(first), len(part))
+    counts = np.diff(run).astype(np.uint32)
+    at = np.searchsorted(run, row)
+    low = sig.view(np.uint8).reshape(-1, 8)[:, :6]
+    columns = [_binaries(node[run[:-1]], at), _binaries(counts, at), _binaries(low, row)]
+    return pa.RecordBatch.from_arrays([pa.array(part[row[:-1]]), *columns], ["part", "nodes", "counts", "sigs"])
+
+
+def _binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of values[bounds[i]:bounds[i + 1]] for each i."""
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    offsets = (bounds * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _joined_bytes(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+
+
 def candidates(rows: DataFrame) -> DataFrame:
-    """(a, b): each class b and the least one a that has one of its signatures, from (sig, node).
+    """(a, b): each class b and the least one a that has one of its signatures, from rows of `packed`.
 
     A function of its own, so that nothing holds the largest shuffle's files when it is over.
     """
-    head = F.min("node").over(Window.partitionBy("sig"))
-    return stored(rows.withColumn("a", head).where("node <> a").select("a", F.col("node").alias("b")).distinct(), "met")
+
+    def meet(t: pa.Table) -> pa.Table:
+        node = np.repeat(_joined_bytes(t.column("nodes")).view(np.int64), _joined_bytes(t.column("counts")).view(np.uint32))
+        sig = np.zeros((len(node), 8), np.uint8)
+        sig[:, :6] = _joined_bytes(t.column("sigs")).reshape(-1, 6)
+        sig = sig.view(np.int64).ravel()
+        by = np.argsort(sig)
+        sig, node = sig[by], node[by]
+        first = np.ones(len(sig), bool)
+        first[1:] = sig[1:] != sig[:-1]
+        start = np.flatnonzero(first)
+        low = np.repeat(np.minimum.reduceat(node, start), np.diff(np.append(start, len(sig))))
+        other = node != low
+        pairs = np.unique(np.stack([low[other], node[other]], 1), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return stored(rows.groupBy("part").applyInArrow(meet, "a long, b long").distinct(), "met")
 
 
 def near_groups(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
@@ -205,20 +259,28 @@ def near_groups(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
                 n = len(sizes)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), pa.array(sizes), pa.array(class_keys(h, rows, n))], ["doc_id", "n", "node"])
 
+    sets = stored(docs.mapInArrow(classed, "doc_id long, n long, node long"), "sets")
+    classes = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
+    parts = 1 + int(bands.most_signatures(total["n"], total["rows"])) // PART_SIGNATURES
+
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def answer() -> pa.RecordBatch:
+            return packed(*shared(*(np.concatenate(c) for c in zip(*held))), parts)
+
         for b in batches:
-            sig, node = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, h, rows, sizes in sets_of(b.column(0), k):
                 s, r = signatures(h, rows, sizes, bands)
-                sig.append(s)
-                node.append(class_keys(h, rows, len(sizes))[r])
-            sig, node = shared(np.concatenate(sig), np.concatenate(node))
-            for i in range(0, len(sig), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[i : i + (1 << 17)]), pa.array(node[i : i + (1 << 17)])], ["sig", "node"])
-
-    sets = stored(docs.mapInArrow(classed, "doc_id long, n long, node long"), "sets")
-    classes = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    met = candidates(docs.select("text").mapInArrow(signed, "sig long, node long"))
+                held.append((s, class_keys(h, rows, len(sizes))[r]))
+                if sum(len(s) for s, _ in held) >= PART_SIGNATURES:
+                    yield answer()
+                    held.clear()
+        if any(len(s) for s, _ in held):
+            yield answer()
+
+    met = candidates(docs.select("text").mapInArrow(signed, "part long, nodes binary, counts binary, sigs binary"))
     release(docs.sparkSession)
     groups = components(met).withColumnRenamed("component", "grp")
 
