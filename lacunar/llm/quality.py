@@ -72,25 +72,25 @@ class Model:
         a = self._weighted(sample)
         self.basis = np.zeros((FEATURES, 1), np.float32)
         if len(a):
-            _, vectors = np.linalg.eigh((a.T @ a).astype(np.float64))
-            self.basis = np.ascontiguousarray(vectors[:, ::-1][:, :rank].astype(np.float32))
-        self.known = self._latent(sample)
+            _, vectors = np.linalg.eigh(a.T @ a)
+            self.basis = np.ascontiguousarray(vectors[:, ::-1][:, :rank])
+        self.known = self._latent(a)
 
     def _weighted(self, x: np.ndarray) -> np.ndarray:
-        terms = x[:, :HASHED] * self.idf[:HASHED]
-        terms = terms / np.maximum(np.linalg.norm(terms, axis=1, keepdims=True), 1e-9)
-        made = x[:, HASHED:] * self.idf[HASHED:]
-        made = PSEUDO_WEIGHT * made / max(1e-9, float(self.idf.max()) * 3)
-        return np.concatenate([terms, made], 1).astype(np.float32)
-
-    def _latent(self, x: np.ndarray) -> np.ndarray:
-        v = self._weighted(x) @ self.basis
+        a = x * self.idf
+        terms, made = a[:, :HASHED], a[:, HASHED:]
+        terms /= np.maximum(np.sqrt(np.einsum("ij,ij->i", terms, terms)), 1e-9)[:, None]
+        made *= PSEUDO_WEIGHT / max(1e-9, float(self.idf.max()) * 3)
+        return a
+
+    def _latent(self, a: np.ndarray) -> np.ndarray:
+        v = a @ self.basis
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.y):
             return np.full(len(x), 0.5)
-        cosines = self._latent(x) @ self.known.T
+        cosines = self._latent(self._weighted(x)) @ self.known.T
         k = min(self.k, len(self.y))
         best = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosines, best, 1), 1e-6).astype(np.float64) ** 8
@@ -126,12 +126,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, x in features(b.column(0)):
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, len(x)), b.column(2).slice(i, len(x)), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "y", "x"])
+                at = [np.flatnonzero(v) for v in x]
+                where, value = ([v.tobytes() for v in c] for c in ([j.astype(np.uint16) for j in at], [v[j] for v, j in zip(x, at)]))
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, len(x)), b.column(2).slice(i, len(x)), pa.array(where, pa.binary()), pa.array(value, pa.binary())], ["doc_id", "y", "j", "x"])
 
     sample = labelled_sample(docs, labels, "quality", most).select("text", F.col("doc_id").cast("long"), "y")
-    rows = sorted(sample.mapInArrow(vectors, "doc_id long, y double, x binary").collect(), key=lambda r: (r["doc_id"], r["x"]))
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, FEATURES), np.float32)
-    return Model(idf, x, np.array([r["y"] for r in rows]))
+    rows = sample.mapInArrow(vectors, "doc_id long, y double, j binary, x binary").toArrow().sort_by([("doc_id", "ascending"), ("j", "ascending"), ("x", "ascending")])
+    x = np.zeros((len(rows), FEATURES), np.float32)
+    for i, (where, value) in enumerate(zip(rows.column("j"), rows.column("x"))):
+        x[i, np.frombuffer(where.as_py(), np.uint16)] = np.frombuffer(value.as_py(), np.float32)
+    return Model(idf, x, rows.column("y").to_numpy().astype(np.float64))
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
