@@ -9,10 +9,11 @@ with their similarity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,17 +65,27 @@ def _features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return x
 
 
+def leading(gram: np.ndarray, rank: int, rounds: int = 60) -> np.ndarray:
+    """The leading eigenvectors of a Gram matrix by subspace iteration, which needs little memory besides it."""
+    basis = np.random.default_rng(7).standard_normal((len(gram), rank + rank // 2)).astype(np.float32)
+    for _ in range(rounds):
+        basis, _ = np.linalg.qr(gram @ basis)
+    _, turn = np.linalg.eigh((basis.T @ (gram @ basis)).astype(np.float64))
+    return np.ascontiguousarray(basis @ turn[:, ::-1][:, :rank].astype(np.float32))
+
+
 class Model:
     """Everything that scoring needs, of a size that doesn't depend on the corpus."""
 
-    def __init__(self, idf: np.ndarray, sample: np.ndarray, y: np.ndarray, rank: int = RANK, k: int = NEIGHBOURS):
+    def __init__(self, idf: np.ndarray, blocks: Callable[[], Iterator[np.ndarray]], y: np.ndarray, rank: int = RANK, k: int = NEIGHBOURS):
+        """blocks gives the sample's rows from the first, a few at a time, so that they are never dense all at once."""
         self.idf, self.k, self.y = idf, k, y.astype(np.float32)
-        a = self._weighted(sample)
-        self.basis = np.zeros((FEATURES, 1), np.float32)
-        if len(a):
-            _, vectors = np.linalg.eigh(a.T @ a)
-            self.basis = np.ascontiguousarray(vectors[:, ::-1][:, :rank])
-        self.known = self._latent(a)
+        gram = np.zeros((FEATURES, FEATURES), np.float32)
+        for x in blocks():
+            a = self._weighted(x)
+            gram += a.T @ a
+        self.basis = leading(gram, rank)
+        self.known = np.concatenate([np.zeros((0, rank), np.float32), *(self._latent(self._weighted(x)) for x in blocks())])
 
     def _weighted(self, x: np.ndarray) -> np.ndarray:
         a = x * self.idf
@@ -131,11 +142,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(i, len(x)), b.column(2).slice(i, len(x)), pa.array(where, pa.binary()), pa.array(value, pa.binary())], ["doc_id", "y", "j", "x"])
 
     sample = labelled_sample(docs, labels, "quality", most).select("text", F.col("doc_id").cast("long"), "y")
-    rows = sample.mapInArrow(vectors, "doc_id long, y double, j binary, x binary").toArrow().sort_by([("doc_id", "ascending"), ("j", "ascending"), ("x", "ascending")])
-    x = np.zeros((len(rows), FEATURES), np.float32)
-    for i, (where, value) in enumerate(zip(rows.column("j"), rows.column("x"))):
-        x[i, np.frombuffer(where.as_py(), np.uint16)] = np.frombuffer(value.as_py(), np.float32)
-    return Model(idf, x, rows.column("y").to_numpy().astype(np.float64))
+    rows = sample.mapInArrow(vectors, "doc_id long, y double, j binary, x binary").toArrow()
+    order = pc.sort_indices(rows, [("doc_id", "ascending"), ("j", "ascending"), ("x", "ascending")]).to_numpy()
+    where, value = rows.column("j"), rows.column("x")
+
+    def blocks() -> Iterator[np.ndarray]:
+        for at in range(0, len(order), 256):
+            part = order[at : at + 256]
+            x = np.zeros((len(part), FEATURES), np.float32)
+            for i, r in enumerate(part.tolist()):
+                x[i, np.frombuffer(where[r].as_py(), np.uint16)] = np.frombuffer(value[r].as_py(), np.float32)
+            yield x
+
+    return Model(idf, blocks, rows.column("y").to_numpy()[order].astype(np.float64))
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
