@@ -4,7 +4,8 @@ A string of LENGTH bytes is anchored at its least hashed K-gram (the leftmost of
 strings have equal anchors at equal places. Each anchor owns a run of string starts, with the bytes
 that these strings span as its context. Contexts alike are one; of a context's occurrences all but
 the earliest are repeats outright. Only anchors with several different contexts need a closer look:
-their contexts meet by anchor and a suffix array over them brings equal strings together.
+their contexts meet by anchor, are narrowed to what may be in another one, and a suffix array over
+what is left brings equal strings together.
 
 The suffix array is made by linear grouping: suffixes are grouped by their longest Lyndon prefix so
 far, and groups are taken in descending order; each member's pointer to the previous smaller suffix
@@ -28,8 +29,8 @@ from lacunar.llm._text import _BASE, _INVERSE, mix, powers, slices
 
 LENGTH = 100
 K = 32
-#: A suffix array takes contexts of about so many bytes at once.
-ARRAY_BYTES = 1 << 17
+#: A suffix array takes contexts of about so many bytes at once, before they are narrowed.
+ARRAY_BYTES = 1 << 19
 #: Anchors in more rows than this are resolved string by string, with sums made before the shuffle.
 HOT_ROWS = 4096
 
@@ -114,6 +115,36 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
+def _alike(rows: list[tuple[int, bytes]]) -> list[int]:
+    """Of each (anchor, bytes): how many first bytes it shares at most with another row of its anchor."""
+    out = [0] * len(rows)
+    order = sorted(range(len(rows)), key=rows.__getitem__)
+    for i, j in zip(order, order[1:]):
+        if rows[i][0] == rows[j][0]:
+            a, b = rows[i][1], rows[j][1]
+            n = min(len(a), len(b))
+            differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+            same = n - (differ.bit_length() + 7) // 8
+            out[i], out[j] = max(out[i], same), max(out[j], same)
+    return out
+
+
+def narrowed(rows: list[tuple[int, int, int, bytes, int]], length: int = LENGTH) -> list[tuple[int, int, bytes]]:
+    """(document, start, context) of what another context of the same anchor may hold too.
+
+    rows: anchor, document, start, context, and the anchor's place in it. Equal strings agree to the left and to the
+    right of their anchor, so a string that goes further on either side than any other context agrees is alone.
+    """
+    left = _alike([(kh, context[:a][::-1]) for kh, _, _, context, a in rows])
+    right = _alike([(kh, context[a:]) for kh, _, _, context, a in rows])
+    out = []
+    for (_, doc, s0, context, a), x, y in zip(rows, left, right):
+        first, last = a - x, min(a + y, len(context)) - length
+        if last >= first:
+            out.append((doc, s0 + first, context[first : last + length]))
+    return out
+
+
 def repeated_starts(contexts: list[bytes], at: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
     """(document, start) of each string of the contexts that is also in them at an earlier one; at: where each context begins."""
     text: list[int] = []
@@ -145,9 +176,9 @@ def repeated_starts(contexts: list[bytes], at: list[tuple[int, int]], length: in
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """Of the rows that begin at `at`: each anchor's hash, context hash, row, and first and last string start (within data)."""
+    """Of the rows that begin at `at`: each anchor's hash, context hash, row, first and last string start and own place (within data)."""
     n = len(data)
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    none = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 4
     if n < length:
         return none
     sums = np.zeros(n + 1, np.uint64)
@@ -177,26 +208,26 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, k: int = K)
     a = anchor[first]
     context = (sums[s1 + length] - sums[s0]) * back[s0]
     context = mix(context + ((a - s0) * 4096 + (s1 - s0)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return h[a], context, row[first], s0, s1
+    return h[a], context, row[first], s0, s1, a
 
 
 def _found(batch: pa.RecordBatch, length: int):
-    """Anchor, context, document, first and last start within it, of a batch's anchors, and whether the batch has the context earlier."""
+    """Anchor, context, document, first and last start and own place within it, of a batch's anchors, whether the batch has the context earlier, and whether the same row."""
     parts = []
     ids = np.asarray(batch.column(0))
     for i, data, at in slices(batch.column(1)):
-        kh, ch, row, s0, s1 = anchors(data, at, length)
-        parts.append((kh.view(np.int64), ch.view(np.int64), ids[i + row], s0 - at[row], s1 - at[row]))
-    kh, ch, doc, s0, s1 = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 5
+        kh, ch, row, s0, s1, own = anchors(data, at, length)
+        parts.append((kh.view(np.int64), ch.view(np.int64), ids[i + row], s0 - at[row], s1 - at[row], own - at[row]))
+    kh, ch, doc, s0, s1, own = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 6
     by = np.lexsort((s0, doc, ch, kh))
-    kh, ch, doc, s0, s1 = (c[by] for c in (kh, ch, doc, s0, s1))
+    kh, ch, doc, s0, s1, own = (c[by] for c in (kh, ch, doc, s0, s1, own))
     again = np.zeros(len(kh), bool)
     again[1:] = (kh[1:] == kh[:-1]) & (ch[1:] == ch[:-1])
     if again.any():  # one document's row repeated is not earlier than itself
         head = np.maximum.accumulate(np.where(again, 0, np.arange(len(kh))))
         same = (doc == doc[head]) & (s0 == s0[head])
-        return kh, ch, doc, s0, s1, again & ~same, again & same
-    return kh, ch, doc, s0, s1, again, again
+        return kh, ch, doc, s0, s1, own, again & ~same, again & same
+    return kh, ch, doc, s0, s1, own, again, again
 
 
 def united(doc: np.ndarray, b: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,15 +256,15 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kh, ch, doc, s0, s1, again, twin = _found(b, length)
+            kh, ch, doc, s0, s1, own, again, twin = _found(b, length)
             keep = np.flatnonzero(~again & ~twin)
             for i in range(0, len(keep), 1 << 17):
                 j = keep[i : i + (1 << 17)]
-                yield table([kh[j], ch[j], doc[j], s0[j] << 8 | (s1 - s0)[j]], ["kh", "ch", "doc_id", "at"])
+                yield table([kh[j], ch[j], doc[j], s0[j] << 16 | (s1 - s0)[j] << 8 | (own - s0)[j]], ["kh", "ch", "doc_id", "at"])
 
     def again_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, _, doc, s0, s1, again, _ = _found(b, length)
+            _, _, doc, s0, s1, _, again, _ = _found(b, length)
             yield table(list(united(doc[again], s0[again], s1[again] + length)), ["doc_id", "b", "e"])
 
     rows = docs.mapInArrow(firsts, "kh long, ch long, doc_id long, at long")
@@ -241,31 +272,33 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     occurrence = Window.partitionBy("kh", "ch").orderBy("doc_id", "at")
     hits = rows.withColumn("r", F.rank().over(occurrence)).withColumn("n", F.count("*").over(anchor)).withColumn("several", F.min("ch").over(anchor) != F.max("ch").over(anchor))
     hits = hits.where("n > 1 and (r > 1 or several)")
-    start, last = F.shiftright("at", 8), F.shiftright("at", 8) + F.col("at").bitwiseAND(F.lit(255))
-    hits = stored(hits.select("kh", "doc_id", start.alias("s0"), last.alias("s1"), (F.col("r") > 1).alias("again"), (F.col("n") > HOT_ROWS).alias("hot")), "hits")
+    start = F.shiftright("at", 16)
+    last, own = start + F.shiftright("at", 8).bitwiseAND(F.lit(255)), F.col("at").bitwiseAND(F.lit(255))
+    hits = stored(hits.select("kh", "doc_id", start.alias("s0"), last.alias("s1"), own.alias("a"), (F.col("r") > 1).alias("again"), (F.col("n") > HOT_ROWS).alias("hot")), "hits")
     known = hits.where("again").select("doc_id", F.col("s0").alias("b"), (F.col("s1") + length).alias("e"))
 
-    wanted = hits.where("not again").groupBy("doc_id").agg(F.collect_list(F.struct("kh", "s0", "s1", "hot")).alias("w")).select(F.col("doc_id").alias("_id"), "w")
+    wanted = hits.where("not again").groupBy("doc_id").agg(F.collect_list(F.struct("kh", "s0", "s1", "a", "hot")).alias("w")).select(F.col("doc_id").alias("_id"), "w")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc, text, asked in zip(*(c.to_pylist() for c in b.columns)):
                 raw = text.encode()
                 for x in asked:
-                    for column, value in zip(out, (x["kh"], doc, x["s0"], raw[x["s0"] : x["s1"] + length], x["hot"])):
+                    for column, value in zip(out, (x["kh"], doc, x["s0"], raw[x["s0"] : x["s1"] + length], x["a"], x["hot"])):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()))], ["kh", "doc_id", "s0", "context", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()))], ["kh", "doc_id", "s0", "context", "a", "hot"])
 
     met = docs.dropDuplicates(["doc_id"]).join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "w")
-    close = stored(met.mapInArrow(contexts, "kh long, doc_id long, s0 long, context binary, hot boolean"), "contexts")
+    close = stored(met.mapInArrow(contexts, "kh long, doc_id long, s0 long, context binary, a long, hot boolean"), "contexts")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes, int]] = []
         size = 0
 
         def answer() -> pa.RecordBatch:
-            found = repeated_starts([x[3] for x in held], [(x[1], x[2]) for x in held], length)
+            left = narrowed(held, length)
+            found = repeated_starts([x[2] for x in left], [x[:2] for x in left], length)
             doc, b = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
             return table(list(united(doc, b, b + length)), ["doc_id", "b", "e"])
 
@@ -279,14 +312,15 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if held:
             yield answer()
 
-    cold = close.where("not hot").select("kh", "doc_id", "s0", "context").repartition("kh").sortWithinPartitions("kh", "doc_id", "s0")
+    cold = close.where("not hot").select("kh", "doc_id", "s0", "context", "a").repartition("kh").sortWithinPartitions("kh", "doc_id", "s0")
     closer = cold.mapInArrow(arrays, SPANS)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, s0, context in zip(*(c.to_pylist() for c in b.columns)):
-                m = len(context) - length + 1
-                yield pa.RecordBatch.from_arrays([pa.array([context[i : i + length] for i in range(m)], pa.binary()), pa.array([doc] * m, pa.int64()), pa.array(range(s0, s0 + m), pa.int64())], ["g", "doc_id", "s"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1 << 10):
+                rows = list(zip(*(c.to_pylist() for c in whole.slice(at, 1 << 10).columns)))
+                made = [(context[i : i + length], doc, s0 + i) for doc, s0, context in rows for i in range(len(context) - length + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.binary(), pa.int64(), pa.int64()))], ["g", "doc_id", "s"])
 
     each = close.where("hot").select("doc_id", "s0", "context").mapInArrow(strings, "g binary, doc_id long, s long").select(F.xxhash64("g").alias("g"), F.xxhash64(F.lit(1), "g").alias("g2"), "doc_id", "s")
     least = each.groupBy("g", "g2").agg(F.min(F.struct("doc_id", "s")).alias("least"), F.count("*").alias("n")).where("n > 1")
