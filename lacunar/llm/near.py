@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from lacunar.llm._dist import components, release, stored
 from lacunar.llm._text import mix, shingle_hashes, slices, word_hashes
@@ -287,7 +288,7 @@ def near_groups(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
     edge = F.floor(F.log(F.col("n").cast("double")) / math.log(band_ratio(share)) + 1e-9).cast("int")
     members = stored(groups.join(classes, "node").withColumn("band", edge), "members")
     a_block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_CLASSES), F.floor(F.lit(BLOCK_SHINGLES) / F.max("n"))))
-    tiles = members.groupBy("grp", "band").agg(F.ceil(F.count("*") / a_block).cast("int").alias("blocks"))
+    tiles = members.groupBy("grp", "band").agg(F.ceil(F.count("*") / a_block).cast("int").alias("blocks"), (F.count("*") > 1).alias("several"))
     tiles = stored(tiles, "tiles")
     below = tiles.select("grp", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_below"))
     above = tiles.select("grp", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_above"))
@@ -296,8 +297,10 @@ def near_groups(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     tile = lambda band, i, up, j, left, right: F.struct(band.alias("band"), i.alias("i"), up.alias("up"), j.alias("j"), left.alias("left"), right.alias("right"))
     band, own, yes, no = F.col("band"), F.col("own"), F.lit(True), F.lit(False)
-    same = F.transform(upto(F.col("blocks")), lambda x: tile(band, F.least(own, x), F.lit(0), F.greatest(own, x), own <= x, own >= x))
-    up = F.transform(upto(F.col("blocks_above")), lambda x: tile(band, own, F.lit(1), x, yes, no))
+    # A band of one block is compared with itself in the tile where it meets the next band's first block.
+    merged = (F.col("blocks") == 1) & (F.col("blocks_above") > 0)
+    same = F.transform(upto(F.when(F.col("several") & ~merged, F.col("blocks")).otherwise(0)), lambda x: tile(band, F.least(own, x), F.lit(0), F.greatest(own, x), own <= x, own >= x))
+    up = F.transform(upto(F.col("blocks_above")), lambda x: tile(band, own, F.lit(1), x, yes, merged & (x == 0)))
     down = F.transform(upto(F.col("blocks_below")), lambda x: tile(band - 1, x, F.lit(1), own, no, yes))
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,13 +310,15 @@ def near_groups(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
                 keys = class_keys(h, rows, n)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 arrays = pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), pa.array(keys), arrays], ["rep", "node", "shingles"])
-
-    wanted = members.select("rep").distinct()
-    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi").select("doc_id", "text")
-    arrays = texts.mapInArrow(as_sets, "rep long, node long, shingles array<long>").select("node", "shingles")
-    placed = dealt.withColumn("t", F.explode(F.concat(same, up, down))).select("node", "grp", "t.*")
-    full = placed.join(arrays, "node")
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), pa.array(keys), arrays], ["at", "key", "shingles"])
+
+    # The places go to the texts, so that arrays are shuffled once, to their tiles.
+    placed = dealt.select("rep", F.struct("node", "grp", F.concat(same, up, down).alias("tiles")).alias("p")).where(F.size("p.tiles") > 0)
+    placed = placed.groupBy("rep").agg(F.collect_list("p").alias("p"))
+    texts = docs.join(placed, docs["doc_id"] == placed["rep"]).select("p", "text")
+    kind = StructType([StructField("at", texts.schema["p"].dataType), StructField("key", LongType()), StructField("shingles", ArrayType(LongType()))])
+    arrays = texts.mapInArrow(as_sets, kind).withColumn("p", F.explode("at")).where("p.node = key")
+    full = arrays.select(F.col("p.node").alias("node"), F.col("p.grp").alias("grp"), F.explode("p.tiles").alias("t"), "shingles").select("node", "grp", "t.*", "shingles")
 
     def joined(t: pa.Table) -> pa.Table:
         nodes, one = np.unique(t.column("node").to_numpy(), return_index=True)  # rows repeated under one doc_id
