@@ -5,8 +5,8 @@ are the network's output vocabulary, with one more entry for all other tokens, w
 then shared by smoothed counts, so that each text has a proper probability. The softmax is factored:
 first a class of tokens, then the token within it. Training is truncated backpropagation through
 windows of WINDOW tokens with the state carried on; each of a number of replicas that grows with the
-input trains on its own documents (a fixed share, 1 / TRAIN_SHARE, of the training documents), and the
-replicas' weights are averaged each round. In scoring the state is carried across windows to the end
+input trains on its own documents, and the replicas' weights are averaged each round. The rounds and
+replicas share out all training documents, each of which is learnt from once. In scoring the state is carried across windows to the end
 of each document.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacunar.llm._dist import stored
+from lacunar.llm._dist import salt, stored
 from lacunar.llm._text import slices, word_hashes
 
 HELD_OUT = (7, 2)
@@ -29,7 +29,6 @@ CLASS_SIZE = 32
 HIDDEN = 24
 WINDOW = 16
 LANES = 32
-TRAIN_SHARE = 16
 ROUNDS = 2
 REPLICA_TOKENS = 250_000
 RATE = 0.006
@@ -84,20 +83,28 @@ def step(x: np.ndarray, h: np.ndarray, u: np.ndarray):
     return cand + z * (h - cand), z, r, cand, a[:, 2 * n :]
 
 
+def in_classes(p: dict[str, np.ndarray], hs: np.ndarray, cls: np.ndarray):
+    """The states in order of the class that follows, that order, each class with its slice, and the exponents of its tokens' scores."""
+    by = np.argsort(cls, kind="stable")
+    cuts = np.searchsorted(cls[by], np.arange(len(p["c"]) + 1))
+    parts = [(slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE), slice(cuts[c], cuts[c + 1])) for c in np.flatnonzero(np.diff(cuts)).tolist()]
+    hs = hs[by]
+    s = np.empty((len(by), CLASS_SIZE), np.result_type(hs, p["O"]))
+    for rows, i in parts:
+        np.matmul(hs[i], p["O"][rows].T, out=s[i])
+    s += p["o"].reshape(-1, CLASS_SIZE)[cls[by]]
+    s -= s.max(1, keepdims=True)
+    return hs, by, parts, s
+
+
 def log_probabilities(p: dict[str, np.ndarray], hs: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of each token y after the state hs."""
     cls = y // CLASS_SIZE
     top = hs @ p["C"] + p["c"]
     top -= top.max(1, keepdims=True)
     out = top[np.arange(len(y)), cls] - np.log(np.exp(top).sum(1))
-    by = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[by], np.arange(top.shape[1] + 1))
-    for c in np.flatnonzero(np.diff(cuts)):
-        i = by[cuts[c] : cuts[c + 1]]
-        rows = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-        s = hs[i] @ p["O"][rows].T + p["o"][rows]
-        s -= s.max(1, keepdims=True)
-        out[i] += s[np.arange(len(i)), y[i] - c * CLASS_SIZE] - np.log(np.exp(s).sum(1))
+    _, by, _, s = in_classes(p, hs, cls)
+    out[by] += s[np.arange(len(y)), y[by] % CLASS_SIZE] - np.log(np.exp(s).sum(1))
     return out
 
 
@@ -125,20 +132,18 @@ def loss_and_gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h:
     top /= total
     g["C"], g["c"] = flat_h.T @ top, top.sum(0)
     dh = top @ p["C"].T
-    by = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[by], np.arange(top.shape[1] + 1))
-    for c in np.flatnonzero(np.diff(cuts)):
-        i = by[cuts[c] : cuts[c + 1]]
-        rows = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-        s = flat_h[i] @ p["O"][rows].T + p["o"][rows]
-        s = np.exp(s - s.max(1, keepdims=True))
-        s /= s.sum(1, keepdims=True)
-        local = flat_y[i] - c * CLASS_SIZE
-        loss -= np.log(np.maximum(s[np.arange(len(i)), local], 1e-30)).sum()
-        s[np.arange(len(i)), local] -= 1
-        s /= total
-        g["O"][rows], g["o"][rows] = s.T @ flat_h[i], s.sum(0)
-        dh[i] += s @ p["O"][rows]
+    states, by, parts, s = in_classes(p, flat_h, cls)
+    s = np.exp(s)
+    s /= s.sum(1, keepdims=True)
+    local = flat_y[by] % CLASS_SIZE
+    loss -= np.log(np.maximum(s[np.arange(total), local], 1e-30)).sum()
+    s[np.arange(total), local] -= 1
+    s /= total
+    back = np.empty((total, n), s.dtype)
+    for rows, i in parts:
+        g["O"][rows], g["o"][rows] = s[i].T @ states[i], s[i].sum(0)
+        np.matmul(s[i], p["O"][rows], out=back[i])
+    dh[by] += back
     dh = dh.reshape(steps, lanes, n)
     carry = np.zeros((lanes, n), np.float32)
     d_gates = np.empty_like(gates)
@@ -164,21 +169,24 @@ def train(p: dict[str, np.ndarray], stream: np.ndarray, lanes: int = LANES, wind
     length = len(stream) // lanes
     if length < 1:
         return p
-    y = stream[: lanes * length].reshape(lanes, length).T
-    x = np.concatenate([np.full((1, lanes), END), y[:-1]])
+    before, dealt = np.append(END, stream[:-1]), lanes * length
+    x, y = (a[:dealt].reshape(lanes, length).T for a in (before, stream))
+    parts = [(x[a : a + window], y[a : a + window]) for a in range(0, length, window)]
+    if dealt < len(stream):  # what the lanes leave over goes on from the last lane
+        parts.append((before[dealt:, None], stream[dealt:, None]))
     h = np.zeros((lanes, p["U"].shape[0]), np.float32)
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    v = {k: np.zeros_like(w) for k, w in p.items()}
-    p = {k: w.copy() for k, w in p.items()}
-    for i, a in enumerate(range(0, length, window), 1):
-        _, g, h = loss_and_gradient(p, x[a : a + window], y[a : a + window], h)
-        norm = float(np.sqrt(sum((w * w).sum() for w in g.values())))
-        scale = min(1.0, 1.0 / max(norm, 1e-9))
-        for k in p:
-            gk = g[k] * np.float32(scale)
-            m[k] += np.float32(0.1) * (gk - m[k])
-            v[k] += np.float32(0.005) * (gk * gk - v[k])
-            p[k] -= np.float32(rate / (1 - 0.9**i)) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.995**i)) + np.float32(1e-6))
+    w = np.concatenate([k.ravel() for k in p.values()])
+    m, v, p, at = np.zeros_like(w), np.zeros_like(w), dict(p), 0
+    for k, a in p.items():
+        p[k] = w[at : at + a.size].reshape(a.shape)
+        at += a.size
+    for i, (x, y) in enumerate(parts, 1):
+        _, g, h = loss_and_gradient(p, x, y, h[-x.shape[1] :])
+        g = np.concatenate([k.ravel() for k in g.values()])
+        g *= np.float32(min(1.0, 1.0 / max(float(np.linalg.norm(g)), 1e-9)))
+        m += np.float32(0.1) * (g - m)
+        v += np.float32(0.005) * (g * g - v)
+        w -= np.float32(rate / (1 - 0.9**i)) * m / (np.sqrt(v / np.float32(1 - 0.995**i)) + np.float32(1e-6))
     return p
 
 
@@ -253,14 +261,14 @@ def token_ids(texts: pa.Array, vocab: Vocabulary) -> Iterator[tuple[int, int, np
         yield i, len(at) - 1, h, rows, where, there, ids
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, hidden: int = HIDDEN, share: int = TRAIN_SHARE, rounds: int = ROUNDS, replica_tokens: int = REPLICA_TOKENS) -> dict[str, np.ndarray]:
-    """Weights after `rounds` rounds; docs (doc_id, text) are the training documents, each round takes others of them."""
+def fit(docs: DataFrame, vocab: Vocabulary, hidden: int = HIDDEN, rounds: int = ROUNDS, replica_tokens: int = REPLICA_TOKENS) -> dict[str, np.ndarray]:
+    """Weights after `rounds` rounds; docs (doc_id, text) are the training documents, each in one round and replica."""
     outputs = len(vocab.mass)
     p = initial(vocab.mass, hidden)
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(vocab)
-    replicas = max(1, round(vocab.tokens / share / rounds / replica_tokens))
-    picked = F.pmod(F.xxhash64("doc_id", "text"), F.lit(share))
+    replicas = max(1, round(vocab.tokens / rounds / replica_tokens))
+
     def trainer(weights):
         def trained(t: pa.Table) -> pa.Table:
             t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
@@ -276,9 +284,8 @@ def fit(docs: DataFrame, vocab: Vocabulary, hidden: int = HIDDEN, share: int = T
 
     for r in range(rounds):
         weights = spark.sparkContext.broadcast(flat(p))
-
-        mine = docs.where((picked == 0) & (F.pmod(F.xxhash64("text", "doc_id"), F.lit(rounds)) == r))
-        mine = mine.withColumn("replica", F.pmod(F.xxhash64("text"), F.lit(replicas)))
+        mine = docs.where(salt(rounds, "text", "doc_id") == r)
+        mine = mine.withColumn("replica", salt(replicas, "doc_id", "text"))
         rows = mine.groupBy("replica").applyInArrow(trainer(weights), "i int, w double").groupBy("i").agg(F.sum("w").alias("w")).toArrow()
         if not rows.num_rows:
             continue

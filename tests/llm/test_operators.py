@@ -232,6 +232,23 @@ def test_language_model_gradient_and_carried_state():
     assert one == pytest.approx(-loss * 76, rel=1e-5)
 
 
+def test_language_model_learns_from_every_training_document(spark):
+    rows = [(i, f"w{i}a w{i}b w{i}c") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").where(lm.in_training())
+    vocab = lm.vocabulary(lm.count_tokens(d), outputs=256)
+    first, last = lm.initial(vocab.mass), lm.fit(d, vocab, replica_tokens=50)
+    moved = np.abs(last["E"] - first["E"]).max(1) > 1e-5
+    assert (vocab.outputs >= 2).all() and len(vocab.outputs) == 3 * d.count()
+    assert moved[vocab.outputs].all()
+
+
+def test_language_model_trains_on_what_the_lanes_leave_over():
+    p = lm.initial(np.full(64, 1 / 64), 6)
+    stream = np.arange(37) + 2
+    got = lm.train(p, stream, lanes=4, window=8)
+    assert (np.abs(got["E"] - p["E"]).max(1) > 1e-5)[stream[:-1]].all()
+
+
 def test_classifiers_take_anything(spark, docs, empty, labels):
     for make in (lambda d, x: quality.classify(d, x), lambda d, x: toxicity.grade(d, x)):
         assert make(docs, labels).count() == docs.count()
