@@ -100,7 +100,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     """
     keys = line_keys(F.col("text"))
     long_ = F.array_distinct(F.transform(F.filter(keys, lambda k: F.length(k) >= least_chars), key_hash))
-    hashes = docs.where("doc_id is not null and text is not null").select("doc_id", F.explode(long_).alias("h")).select("doc_id", "h.h1", "h.h2")
+    hashes = docs.where("doc_id is not null and text is not null").select("doc_id", F.explode(long_).alias("h")).select("doc_id", "h.h1", "h.h2").distinct()
     hashes = stored(hashes, "lines")
     repeated = repeated_lines(hashes, least_docs, batches, fanout)
     gone = hashes.join(repeated, ["h1", "h2"]).where("doc_id < owner").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))

@@ -66,6 +66,13 @@ def test_lines(docs, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_repeated_rows(spark):
+    twice, thrice = "held by two documents alone", "held by three documents, once each"
+    rows = [(1, twice), (2, twice + "\n" + thrice), (2, twice + "\n" + thrice), (2, twice), (3, thrice), (4, thrice)]
+    got = sorted((r["doc_id"], r["text"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, twice), (2, twice), (2, twice), (2, twice), (3, ""), (4, thrice)])
+
+
 @pytest.mark.parametrize("k,share", [(3, 0.9), (5, 0.8), (2, 0.5)])
 def test_near_groups(docs, empty, k, share):
     sets = {i: shingles(t, k) for i, t in source(docs)}
