@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lacunar.sources.matrix import Matrix
 
+INF = float("inf")
+
 
 def misses(vals: Column = None) -> Column:
     vals = F.col("vals") if vals is None else vals
@@ -22,12 +24,14 @@ def missing_by_column(m: Matrix, prop: bool = False) -> DataFrame:
 def missing_by_row(m: Matrix, prop: bool = False) -> DataFrame:
     """sample, n_missing (or its share)."""
     value = F.avg(F.col("value").isNull().cast("double")) if prop else F.sum(F.col("value").isNull().cast("long"))
-    return m.cells().groupBy("sample").agg(value.alias("prop_missing" if prop else "n_missing"))
+    by_row = m.vectors.select(F.posexplode("vals").alias("p", "value")).groupBy("p").agg(value.alias("prop_missing" if prop else "n_missing"))
+    return by_row.withColumn("row_idx", F.col("p") + 1).join(m.labels(), "row_idx").drop("p", "row_idx")
 
 
 def column_variances(m: Matrix) -> DataFrame:
     """feature, col_idx, variance (n - 1); null below two values, NaN with an infinite one."""
-    return m.cells().groupBy("feature", "col_idx").agg(F.var_samp("value").alias("variance"))
+    cells = m.vectors.select("feature", "col_idx", F.explode("vals").alias("value"))
+    return cells.groupBy("feature", "col_idx").agg(F.var_samp("value").alias("variance"))
 
 
 def column_ranges(m: Matrix) -> DataFrame:
@@ -36,13 +40,13 @@ def column_ranges(m: Matrix) -> DataFrame:
 
 def check_finite(m: Matrix) -> None:
     """Raises if a column has no finite value."""
-    none = m.vectors.where(~F.exists("vals", lambda v: v.isNotNull() & (F.abs(v) != float("inf")))).limit(1).collect()
+    none = m.vectors.where(~F.exists("vals", lambda v: v.isNotNull() & (F.abs(v) != INF))).select("feature").limit(1).collect()
     if none:
         raise ValueError(f"feature {none[0]['feature']} has no finite value")
 
 
 def stop_on_inf(m: Matrix) -> None:
     """Raises at an infinite value."""
-    bad = m.cells().where(F.abs("value") == float("inf")).orderBy("col_idx", "row_idx").limit(1).collect()
+    bad = m.vectors.where(F.exists("vals", lambda v: F.abs(v) == INF)).agg(F.min(F.struct("col_idx", F.array_position(F.transform("vals", lambda v: F.abs(v) == INF), True).alias("row_idx"))).alias("x")).first()["x"]
     if bad:
-        raise ValueError(f"infinite value in row {bad[0]['row_idx']}, column {bad[0]['col_idx']}")
+        raise ValueError(f"infinite value in row {bad['row_idx']}, column {bad['col_idx']}")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from lacunar.sources.store import stored
 
 GROUPS = "grp string, feature array<string>, aux array<string>, parameters string"
 _registry: dict[str, DataFrame] = {}
@@ -34,6 +36,8 @@ def nested(group: DataFrame) -> DataFrame:
     if not kinds["feature"].startswith("array"):
         if "grp" not in kinds:
             raise ValueError("a long group table needs a grp column")
+        if kinds["grp"] in ("double", "float") and not group.where("grp <> floor(grp)").isEmpty():
+            warnings.warn("group labels are numbers that aren't whole", stacklevel=2)
         long = group.select("grp", F.col("feature").cast("string").alias("feature")).distinct()
         if not long.where("grp is null or feature is null").isEmpty():
             raise ValueError("grp and feature must not be missing")
@@ -69,16 +73,13 @@ def prepare(features: DataFrame, group: DataFrame | str, subset: list[str] | Non
     parts = own.withColumn("role", F.lit(0)).unionByName(table.select("grp", F.explode("aux").alias("f")).withColumn("role", F.lit(1)))
     parts = parts.join(known, "f", "left_semi")
     if names is not None:
-        parts = parts.join(F.broadcast(asked.withColumn("_in", F.lit(True))), "f", "left").withColumn("role", F.when((F.col("role") == 0) & F.col("_in").isNull(), 1).otherwise(F.col("role"))).drop("_in")
+        parts = parts.join(asked.withColumn("_in", F.lit(True)), "f", "left").withColumn("role", F.when((F.col("role") == 0) & F.col("_in").isNull(), 1).otherwise(F.col("role"))).drop("_in")
     parts = parts.groupBy("grp", "f").agg(F.min("role").alias("role"))
     kept = parts.where("role = 0").select("grp").distinct()
     parts = parts.join(kept, "grp", "left_semi")
     if min_group_size:
         size = parts.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") < min_group_size)
-        pool = size.crossJoin(known).join(parts, ["grp", "f"], "left_anti")  # small groups only, each needs the pool
-        order = Window.partitionBy("grp").orderBy(F.xxhash64(F.lit(seed), "grp", "f"), "f")
-        more = pool.withColumn("r", F.row_number().over(order)).where(F.col("r") <= min_group_size - F.col("n"))
-        parts = parts.unionByName(more.select("grp", "f", F.lit(1).alias("role")))
+        parts = parts.unionByName(padding(known, parts, size, min_group_size, seed))
         if not parts.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") < min_group_size).isEmpty():
             raise ValueError("too few features to fill up a group")
     pick = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("f"))))
@@ -88,6 +89,22 @@ def prepare(features: DataFrame, group: DataFrame | str, subset: list[str] | Non
     return out
 
 
+def padding(known: DataFrame, parts: DataFrame, small: DataFrame, least: int, seed: int) -> DataFrame:
+    """(grp, f, role 1): features that fill the small groups (grp, n) up to `least`.
+
+    All features are numbered once in a hash order that the seed sets; a group takes those that follow a place of
+    its own, round the end, leaving out what it has. At most `least` following ones can be its own, so twice as
+    many are looked up, by number, and no group meets the whole pool.
+    """
+    pool = stored(known.withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "f"), "f")) - 1), "pool")
+    total = pool.count()
+    own = F.pmod(F.xxhash64(F.lit(seed), "grp"), F.lit(total))
+    steps = small.select("grp", "n", F.posexplode(F.sequence(own, own + min(2 * least, total) - 1)).alias("step", "at")).withColumn("place", F.col("at") % total)
+    met = steps.join(pool, "place").join(parts.select("grp", "f"), ["grp", "f"], "left_anti")
+    order = Window.partitionBy("grp").orderBy("step")
+    return met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= least - F.col("n")).select("grp", "f", F.lit(1).alias("role"))
+
+
 def table_of(spark: SparkSession, groups: dict[str, dict]) -> DataFrame:
     """A group table from {label: {"feature": [...], "aux": [...], "parameters": {...}}}."""
     rows = [(k, g["feature"], g.get("aux") or [], json.dumps(g.get("parameters") or {})) for k, g in groups.items()]

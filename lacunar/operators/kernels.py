@@ -5,12 +5,20 @@ x is samples x features with NaN for missing; every function returns a new array
 
 from __future__ import annotations
 
+import time
+import warnings
+
 import numpy as np
 
 from lacunar.operators.result import InfeasibleError
 
 EPS = float(np.finfo(float).eps)
 SMALL_SD = 1e-15
+#: The block iteration gives up after so many rounds without a smaller residual, or when it grows by this factor.
+STALL, DIVERGED = 5, 10.0
+#: The automatic choice: the exact solver below so many rows of the Gram matrix or over this share of its
+#: eigenpairs; else as many timed rounds of the other, which must take less than this share of the exact one's time.
+LEAST_GRAM, MOST_SHARE, PROBES, FASTER = 250, 0.1, 5, 0.9
 
 
 def fill_means(x: np.ndarray, columns: np.ndarray | None = None) -> np.ndarray:
@@ -104,14 +112,19 @@ def top_pairs(gram: np.ndarray, k: int, solver: str, warm: np.ndarray | None, to
 
 def blocked(a: np.ndarray, x: np.ndarray, tol: float, maxiter: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Locally optimal block iteration for the largest eigenpairs from a warm start; None if it doesn't settle."""
-    x, k, last = np.linalg.qr(x)[0], x.shape[1], None
+    x, k, last, least, stale = np.linalg.qr(x)[0], x.shape[1], None, np.inf, 0
     for _ in range(max(1, maxiter)):
         ax = a @ x
         values, rot = np.linalg.eigh(x.T @ ax)
         x, ax = x @ rot, ax @ rot
         rest = ax - x * values
-        if np.linalg.norm(rest) <= tol * max(1e-300, abs(values).max()) * np.sqrt(k):
+        size = np.linalg.norm(rest)
+        if size <= tol * max(1e-300, abs(values).max()) * np.sqrt(k):
             return values[::-1], x[:, ::-1]
+        stale = 0 if size < least else stale + 1
+        if stale >= STALL or size > DIVERGED * least:
+            return None
+        least = min(least, size)
         basis = np.linalg.qr(np.concatenate([x, rest] + ([last] if last is not None else []), 1))[0]
         values, rot = np.linalg.eigh(basis.T @ a @ basis)
         new = basis @ rot[:, -k:]
@@ -139,10 +152,24 @@ def triplet(z: np.ndarray, w: np.ndarray, k: int, solver: str, warm: np.ndarray
     return s, u / np.sqrt(w)[:, None], v, float(np.trace(gram)), vectors, ok
 
 
+def shrunk(s: np.ndarray, trace: float, n: int, p: int, ncp: int, method: str, ridge: float) -> tuple[np.ndarray, float, np.ndarray]:
+    """Of singular values: the shrunk leading ones, the energy of the rest, and the leading ones as they are."""
+    main = s[:ncp]
+    tail = max(0.0, trace - (main**2).sum())
+    noise = 0.0
+    if method == "regularized":
+        free = (p - ncp) * (n - 1 - ncp)
+        noise = (n * p / min(p, n - 1)) * tail / free if free > 0 else 0.0
+        noise = min(ridge * noise, s[ncp] ** 2 if len(s) > ncp else 0.0)
+    return np.where(main > SMALL_SD, main - noise / np.maximum(main, SMALL_SD), 0.0), tail, main
+
+
 def pca(x: np.ndarray, ncp: int = 2, scale: bool = True, method: str = "regularized", coeff_ridge: float = 1.0, row_w=None, threshold: float = 1e-6, seed: int | None = None, nb_init: int = 1, maxiter: int = 1000, miniter: int = 5, solver: str = "auto", eigen=None, colmax: float = 0.9, post_imp: bool = True, clamp=None) -> tuple[np.ndarray, dict]:
     """Missing values by iterated regularised (or EM) principal components; and a report."""
     n, p_all = x.shape
     checked(x)
+    if ncp > p_all - 1:
+        raise ValueError("ncp must be below the number of columns")
     gone_all = np.isnan(x)
     if not gone_all.any():
         return x.copy(), {}
@@ -169,9 +196,11 @@ def pca(x: np.ndarray, ncp: int = 2, scale: bool = True, method: str = "regulari
     k = ncp + 1 if method == "regularized" else ncp
     tol, inner = (eigen.tol, eigen.maxiter) if eigen else (1e-9, 20)
     warmup = eigen.warmup_iters if eigen else 10
-    use = "exact" if min(n, p) < 250 or k / min(n, p) > 0.1 else "lobpcg"
-    if solver != "auto":
-        use = solver
+    use, probing, took = solver, False, {"exact": [], "lobpcg": []}
+    if solver == "auto":
+        probing = min(n, p) >= LEAST_GRAM and k / min(n, p) <= MOST_SHARE and not (eigen and eigen.maxiter == 0)
+        use = "lobpcg" if probing else "exact"
+        warmup = min(50, max(warmup, int(np.ceil(1.5 * k))))
     best = None
     for init in range(1, nb_init + 1):
         rng = np.random.default_rng(None if seed is None else seed * (init - 1))
@@ -189,16 +218,15 @@ def pca(x: np.ndarray, ncp: int = 2, scale: bool = True, method: str = "regulari
                     sd = np.maximum(np.sqrt((w[:, None] * (full - mu) ** 2).sum(0)), SMALL_SD)
                 z = (full - mu) / sd
             how = use if it > warmup else "exact"
+            began = time.perf_counter()
             s, u, v, trace, warm, ok = triplet(z, w, k, how, warm, tol, inner)
             ok_n, bad_n = ok_n + ok, bad_n + (how == "lobpcg" and not ok)
-            main = s[:ncp]
-            tail = max(0.0, trace - (main**2).sum())
-            noise = 0.0
-            if method == "regularized":
-                free = (p - ncp) * (n - 1 - ncp)
-                noise = (n * p / min(p, n - 1)) * tail / free if free > 0 else 0.0
-                noise = min(coeff_ridge * noise, s[ncp] ** 2 if len(s) > ncp else 0.0)
-            lam = np.where(main > SMALL_SD, main - noise / np.maximum(main, SMALL_SD), 0.0)
+            if probing:
+                took[how].append(time.perf_counter() - began)
+                if len(took["lobpcg"]) >= PROBES:  # holds for later starts too
+                    probing = False
+                    use = "lobpcg" if np.mean(took["lobpcg"]) < FASTER * np.mean(took["exact"] or [np.inf]) else "exact"
+            lam, tail, main = shrunk(s, trace, n, p, ncp, method, coeff_ridge)
             fit = (u[:, :ncp] * lam) @ v[:, :ncp].T
             objective = max(0.0, tail + ((main - lam) ** 2).sum() - (w[:, None] * (z - fit) ** 2)[gone].sum())
             crit = abs(1 - objective / old) if old > 0 else 0.0
@@ -210,13 +238,16 @@ def pca(x: np.ndarray, ncp: int = 2, scale: bool = True, method: str = "regulari
         if best is None or error < best[0]:
             best = (error, z * sd + mu, {"n_iter": it, "converged": done, "criterion": float(crit), "solver": use, "n_exact": it - ok_n, "n_iterative": ok_n, "n_failed": bad_n})
     _, full, report = best
+    if not report["converged"]:
+        warnings.warn(f"no convergence within {maxiter} rounds", stacklevel=2)
     values = full if clamp is None else np.clip(full, *clamp)
     out = x.copy()
     out[:, eligible] = np.where(gone, values, e)
     return (fill_means(out) if post_imp else out), report
 
 
-def impute(name: str, x: np.ndarray, params: dict, subset: np.ndarray | None = None) -> np.ndarray:
+def impute(name: str, x: np.ndarray, params: dict, subset: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
+    """The completed matrix and the method's report."""
     if name == "knn":
-        return knn(x, int(params["k"]), subset, params["colmax"], params["method"], params["post_imp"], params["dist_pow"])
-    return pca(x, **{k: v for k, v in params.items()})[0]
+        return knn(x, int(params["k"]), subset, params["colmax"], params["method"], params["post_imp"], params["dist_pow"]), {}
+    return pca(x, **params)

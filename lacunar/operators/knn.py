@@ -7,6 +7,8 @@ their values joined. No task ever sees more than two blocks, and no pair of colu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,49 +19,52 @@ from lacunar.operators.kernels import combine, distances, weights
 from lacunar.operators.mean import filled, subset_filter
 from lacunar.operators.result import ImputeResult, InfeasibleError
 from lacunar.plans.params import KNN, check
-from lacunar.sources.matrix import Matrix
-
-BLOCK = 1024
-
+from lacunar.sources.matrix import Matrix, dense, lists
+from lacunar.sources.store import stored
 
-def _matrix(t: pa.Table, column: str = "vals") -> np.ndarray:
-    flat = t.column(column).combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).T.astype(float)
+#: Values in a block of candidates (64 MB of them), and targets in a block at most.
+BLOCK_VALUES = 1 << 23
+BLOCK_TARGETS = 2048
 
 
 def roles(m: Matrix, subset: list | None = None, colmax: float = 0.9) -> DataFrame:
     """Eligible columns with role 0 (complete), 1 (to complete) or 2 (missing, not asked for)."""
-    wanted = subset_filter(m, subset).withColumn("_in", F.lit(True))
     share = misses() / F.lit(m.n)
-    role = F.when(misses() == 0, 0).when(F.col("_in"), 1).otherwise(2)
-    return m.vectors.join(wanted, "col_idx", "left").where(share < min(colmax, 1)).select("col_idx", "feature", "vals", role.alias("role"))
+    asked = F.lit(True)
+    known = m.vectors
+    if subset is not None:
+        known = known.join(subset_filter(m, subset).withColumn("_in", F.lit(True)), "col_idx", "left")
+        asked = F.col("_in").isNotNull()
+    role = F.when(misses() == 0, 0).when(asked, 1).otherwise(2)
+    return known.where(share < min(colmax, 1)).select("col_idx", "feature", "vals", role.alias("role"))
 
 
 def neighbours(m: Matrix, k: int, subset: list | None = None, colmax: float = 0.9, method: str = "euclidean") -> DataFrame:
     """target, col_idx, dist, rank: each target's k nearest columns; ties go to complete columns, then to those to complete, then by position."""
     known = roles(m, subset, colmax)
-    n, p_target = known.count(), known.where("role = 1").count()
-    if k > n - 1:
+    sizes = known.agg(F.count("*").alias("n"), F.count_if(F.col("role") == 1).alias("t")).first()
+    if k > sizes["n"] - 1:
         raise InfeasibleError("too few eligible columns for k")
-    if not p_target:
+    if not sizes["t"]:
         raise InfeasibleError("no eligible column has missing values")
-    cb, tb = -(-n // BLOCK), -(-p_target // BLOCK)
+    cb = -(-sizes["n"] * m.n // BLOCK_VALUES)
+    tb = -(-sizes["t"] // max(1, min(BLOCK_TARGETS, BLOCK_VALUES // max(1, m.n))))
     others = known.select(F.pmod(F.xxhash64("col_idx"), F.lit(cb)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(tb - 1))).alias("t"), "col_idx", "role", "vals")
     targets = known.where("role = 1").select(F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("c"), F.pmod(F.xxhash64("col_idx"), F.lit(tb)).cast("int").alias("t"), F.col("col_idx").alias("target"), F.col("vals").alias("target_vals"))
 
     def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
-        found: list[list] = [[], [], [], []]
+        found: list[np.ndarray] = []
         if a.num_rows and b.num_rows:
-            x, ids, role = _matrix(a), a.column("col_idx").to_numpy(), a.column("role").to_numpy()
-            y = _matrix(b, "target_vals")
-            for j, t in enumerate(b.column("target").to_pylist()):
-                d = distances(y[:, j], x, method)
-                at = np.lexsort((ids, role, d))
-                at = at[ids[at] != t][:k]
-                found[0].extend([t] * len(at))
-                for column, values in zip(found[1:], (ids[at], d[at], role[at])):
-                    column.extend(values)
-        return pa.table([pa.array(c, kind) for c, kind in zip(found, (pa.int32(), pa.int32(), pa.float64(), pa.int32()))], ["target", "col_idx", "dist", "role"])
+            a = a.sort_by([("role", "ascending"), ("col_idx", "ascending")])
+            ids, role = a.column("col_idx").to_numpy(), a.column("role").to_numpy()
+            x, y = dense(a.column("vals")), dense(b.column("target_vals"))
+            for t, mine in zip(b.column("target").to_pylist(), y):
+                d = distances(mine, x.T, method)
+                d[ids == t] = np.nan  # sorts last
+                at = np.argsort(d, kind="stable")[: min(k, len(d) - int((ids == t).any()))]
+                found.append(np.stack([np.full(len(at), t), ids[at], d[at], role[at]], 1))
+        rows = np.concatenate(found) if found else np.zeros((0, 4))
+        return pa.table([pa.array(c.astype(kind)) for c, kind in zip(rows.T, (np.int32, np.int32, float, np.int32))], ["target", "col_idx", "dist", "role"])
 
     best = others.groupBy("c", "t").cogroup(targets.groupBy("c", "t")).applyInArrow(nearest, "target int, col_idx int, dist double, role int")
     order = Window.partitionBy("target").orderBy("dist", "role", "col_idx")
@@ -69,27 +74,31 @@ def neighbours(m: Matrix, k: int, subset: list | None = None, colmax: float = 0.
 def knn_impute(m: Matrix, k: int, colmax: float = 0.9, method: str = "euclidean", post_imp: bool = True, subset: list | None = None, dist_pow: float = 0.0) -> ImputeResult:
     """Missing values by the weighted mean of the nearest columns' original values; then, if asked, by column means."""
     check("knn", {**KNN, "k": k, "colmax": colmax, "method": method, "dist_pow": dist_pow})
+    if k > m.vectors.count() - 1:
+        raise ValueError("k must be below the number of columns")
     check_finite(m)
     stop_on_inf(m)
-    wanted = subset_filter(m, subset)
+    wanted = subset_filter(m, subset).withColumn("_in", F.lit(True))
     if m.vectors.join(wanted, "col_idx", "left_semi").where(misses() > 0).isEmpty():
         return ImputeResult(m.vectors, "none")
     near = neighbours(m, k, subset, colmax, method)
-    with_values = near.join(m.vectors.select("col_idx", "vals"), "col_idx").select("target", "dist", "rank", "vals")
-    own = m.vectors.select(F.col("col_idx").alias("target"), F.lit(-1.0).alias("dist"), F.lit(0).alias("rank"), "vals")
-    both = with_values.unionByName(own.join(near.select("target").distinct(), "target", "left_semi"))
-
-    def completed(t: pa.Table) -> pa.Table:
-        t = t.sort_by("rank")
-        x, d = _matrix(t), t.column("dist").to_numpy()[1:]
-        mine, gone = x[:, 0].copy(), np.isnan(x[:, 0])
-        mine[gone] = combine(x[gone, 1:], weights(d, dist_pow))
-        vals = pa.array([[None if np.isnan(v) else float(v) for v in mine]], pa.list_(pa.float64()))
-        return pa.table([t.column("target").slice(0, 1), vals], ["target", "new"])
-
-    new = both.groupBy("target").applyInArrow(completed, "target int, new array<double>")
+    met = near.join(m.vectors.select("col_idx", "vals"), "col_idx").groupBy("target").agg(F.array_sort(F.collect_list(F.struct("rank", "dist", "vals"))).alias("near"))
+    both = m.vectors.select("col_idx", "vals").join(met, F.col("col_idx") == F.col("target")).select("target", "vals", F.col("near.dist").alias("dist"), F.flatten("near.vals").alias("near"))
+    n = m.n
+
+    def completed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                mine, d = dense(b.column(1).slice(i, 1))[0], b.column(2)[i].values.to_numpy()
+                near = dense(b.column(3).slice(i, 1)).reshape(-1, n)
+                gone = np.isnan(mine)
+                mine[gone] = combine(near[:, gone].T, weights(d, dist_pow))
+                out.append(mine)
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(np.stack(out) if out else np.zeros((0, n)))], ["target", "new"])
+
+    new = both.mapInArrow(completed, "target int, new array<double>")
     out = m.vectors.join(new, F.col("col_idx") == F.col("target"), "left").withColumn("vals", F.coalesce("new", "vals"))
     if post_imp:
-        flagged = wanted.withColumn("_in", F.lit(True))
-        out = out.join(flagged, "col_idx", "left").withColumn("vals", F.when(F.col("_in"), filled(F.col("vals"))).otherwise(F.col("vals")))
-    return ImputeResult(out.select(*m.vectors.columns), "knn", post_imp)
+        out = out.join(wanted, "col_idx", "left").withColumn("vals", F.when(F.col("_in"), filled(F.col("vals"))).otherwise(F.col("vals")))
+    return ImputeResult(stored(out.select(*m.vectors.columns), "completed"), "knn", post_imp)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +19,22 @@ def filled(vals):
 
 
 def subset_filter(m: Matrix, subset: list | None) -> DataFrame:
-    """(col_idx) of the features asked for by name or position; unknown names are dropped, repeated ones are an error."""
+    """(col_idx) of the features asked for by name or position.
+
+    Unknown names are dropped with a warning; positions out of range and repeated entries are errors.
+    """
     if subset is None:
         return m.vectors.select("col_idx")
     if len(set(subset)) != len(subset):
         raise ValueError("subset has repeated entries")
     key = "feature" if subset and isinstance(subset[0], str) else "col_idx"
     wanted = m.vectors.sparkSession.createDataFrame([(s,) for s in subset], f"{key} {'string' if key == 'feature' else 'int'}")
-    return m.vectors.join(wanted, key, "left_semi").select("col_idx")
+    found = m.vectors.join(wanted, key, "left_semi").select("col_idx")
+    if missing := len(subset) - found.count():
+        if key == "col_idx":
+            raise ValueError("subset has positions that the matrix lacks")
+        warnings.warn(f"{missing} names of the subset are not in the matrix", stacklevel=3)
+    return found
 
 
 def mean_impute(m: Matrix, subset: list | None = None) -> ImputeResult:

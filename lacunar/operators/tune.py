@@ -4,21 +4,30 @@ from __future__ import annotations
 
 import inspect
 import itertools
+import json
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacunar.functions.stats import INF, misses
 from lacunar.operators.knn import knn_impute
+from lacunar.operators.mean import subset_filter
 from lacunar.operators.partitioned import slide_impute
 from lacunar.operators.pca import pca_impute
 from lacunar.plans.params import KNN, PCA, WINDOWS
-from lacunar.sources.matrix import Matrix
+from lacunar.sources.matrix import Matrix, dense
+from lacunar.sources.store import stored
 
-METHODS: dict[str, tuple[Callable, set]] = {"knn_imp": (knn_impute, set(KNN)), "pca_imp": (pca_impute, set(PCA)), "slide_imp": (slide_impute, set(KNN) | set(PCA) | set(WINDOWS))}
+#: The function, its parameters, and of which ones at least one must be given.
+METHODS: dict[str, tuple[Callable, set, list]] = {
+    "knn_imp": (knn_impute, set(KNN), [("k",)]),
+    "pca_imp": (pca_impute, set(PCA), [("ncp",)]),
+    "slide_imp": (slide_impute, set(KNN) | set(PCA) | set(WINDOWS), [("window_size",), ("k", "ncp")]),
+}
 LOCATIONS = "rep_id int, ord int, row_idx int, col_idx int"
-RESULT = "param_set int, rep_id int, result array<struct<truth double, estimate double>>, error string"
 
 
 def per_column(num_na: int, n_rows: int) -> list[int]:
@@ -28,23 +37,17 @@ def per_column(num_na: int, n_rows: int) -> list[int]:
     return [base] * (columns - more) + [base + 1] * more
 
 
-def sample_cells(x: np.ndarray, needed: list[int], rng: np.random.Generator, rowmax: float = 0.9, colmax: float = 0.9, pool: np.ndarray | None = None, attempts: int = 100) -> list[tuple[int, int]]:
-    """Zero-based cells to mask: per column, observed ones, so that no row or column loses too much and two distinct values stay."""
+def sample_cells(x: np.ndarray, needed: list[int], rng: np.random.Generator, row_room: np.ndarray, colmax: float = 0.9, attempts: int = 100) -> list[tuple[int, int]] | None:
+    """Zero-based cells to mask, or None: per column, observed ones, so that no row or column loses too much and two distinct values stay."""
     n, p = x.shape
     gone = np.isnan(x)
-    row_room, col_room = np.floor(n * 0 + p * rowmax) - gone.sum(1), np.minimum(np.floor(n * colmax), n - 2) - gone.sum(0)
-    if (np.floor(p * rowmax) < gone.sum(1)).any() or (np.floor(n * colmax) < gone.sum(0)).any():
-        raise ValueError("a row or column already misses more than rowmax or colmax allow")
-    with np.errstate(invalid="ignore"):
-        spread = np.array([np.unique(c[~np.isnan(c)]).size for c in x.T])
-    if (spread < 2).any():
-        raise ValueError("a column has no variance")
-    pool = np.arange(p) if pool is None else np.asarray(pool)
+    col_room = min(np.floor(n * colmax), n - 2) - gone.sum(0)
     for _ in range(attempts):
-        room, out, ok = row_room.copy(), [], True
-        columns = list(rng.permutation(pool))
+        room, out = row_room.copy(), []
+        columns = list(rng.permutation(p))
         for need in sorted(needed, reverse=True):
-            while columns:
+            rows = None
+            while columns and rows is None:
                 j = columns.pop()
                 if col_room[j] < need:
                     continue
@@ -52,45 +55,79 @@ def sample_cells(x: np.ndarray, needed: list[int], rng: np.random.Generator, row
                 first = rng.choice(seen)
                 second = rng.choice(seen[x[seen, j] != x[first, j]])
                 free = seen[(seen != first) & (seen != second) & (room[seen] > 0)]
-                if len(free) < need:
-                    continue
-                rows = rng.choice(free, need, replace=False)
-                room[rows] -= 1
-                out += [(int(i), int(j)) for i in rows]
-                break
-            else:
-                ok = False
+                if len(free) >= need:
+                    rows = rng.choice(free, need, replace=False)
+            if rows is None:
                 break
-        if ok:
-            return sorted(out, key=lambda c: (c[1], c[0]))
-    raise ValueError("no set of cells was found")
+            room[rows] -= 1
+            out += [(int(i), int(j)) for i in rows]
+        else:
+            return out
+    return None
 
 
 def sample_na_loc(m: Matrix, n_cols: int | None = None, n_rows: int = 2, num_na: int | None = None, n_reps: int = 1, rowmax: float = 0.9, colmax: float = 0.9, subset: list[str] | None = None, max_attempts: int = 100, seed: int = 0) -> DataFrame:
-    """rep_id, ord, row_idx, col_idx (from 1) of cells to mask; one task per repetition."""
-    spark = m.vectors.sparkSession
-    x = m.to_numpy()
-    names = [r["feature"] for r in m.vectors.orderBy("col_idx").select("feature").collect()]
+    """rep_id, ord, row_idx, col_idx (from 1) of cells to mask; one task per repetition.
+
+    A repetition's task gets a few times the columns that it needs, the first ones of a hash order of its own, and
+    more only if these don't do; the driver holds one count a sample.
+    """
+    n, p = m.n, m.vectors.count()
     if num_na is None and n_cols is None:
-        num_na = min(500, max(n_rows, round(0.05 * x.size)))
+        num_na = min(500, max(n_rows, round(0.05 * n * p)))
     needed = per_column(num_na, n_rows) if num_na is not None else [n_rows] * n_cols
-    pool = None if subset is None else np.array([names.index(s) for s in subset])
-    rows = []
-    for rep in range(1, n_reps + 1):
-        cells = sample_cells(x, needed, np.random.default_rng([seed, rep]), rowmax, colmax, pool, max_attempts)
-        rows += [(rep, o + 1, i + 1, j + 1) for o, (i, j) in enumerate(cells)]
-    return spark.createDataFrame(rows, LOCATIONS)
+    gone, several = misses(), F.size(F.array_distinct(F.array_compact("vals"))) > 1
+    bad = m.vectors.agg(F.count_if(gone > int(np.floor(n * colmax))), F.count_if(~several)).first()
+    in_row = np.zeros(n)
+    for r in m.vectors.select(F.posexplode("vals").alias("p", "v")).where("v is null").groupBy("p").count().collect():  # one row a sample
+        in_row[r["p"]] = r["count"]
+    if bad[0] or (in_row > np.floor(p * rowmax)).any():
+        raise ValueError("a row or column already misses more than rowmax or colmax allow")
+    if bad[1]:
+        raise ValueError("a column has no variance")
+    room = np.floor(p * rowmax) - in_row
+    pool = m.vectors if subset is None else m.vectors.join(subset_filter(m, subset), "col_idx", "left_semi")
+    pool = pool.where(gone <= min(int(np.floor(n * colmax)), n - 2) - min(needed)).select("col_idx", "vals", F.explode(F.sequence(F.lit(1), F.lit(n_reps))).alias("rep_id"))
+    ranked = pool.withColumn("_r", F.row_number().over(Window.partitionBy("rep_id").orderBy(F.xxhash64(F.lit(seed), "rep_id", "col_idx"), "col_idx")))
+
+    def sampled(t: pa.Table) -> pa.Table:
+        rep = t.column("rep_id")[0].as_py()
+        cells = sample_cells(dense(t.column("vals")).T, needed, np.random.default_rng([seed, rep]), room, colmax, max_attempts)
+        ids = t.column("col_idx").to_numpy()
+        rows = np.array([(rep, o, i + 1, ids[j]) for o, (i, j) in enumerate(sorted(cells or [], key=lambda c: (ids[c[1]], c[0])), 1)], np.int32).reshape(-1, 4)
+        return pa.table([pa.array(c) for c in rows.T], ["rep_id", "ord", "row_idx", "col_idx"])
+
+    most = 4 * len(needed) + 16
+    while True:
+        cells = stored(ranked.where(F.col("_r") <= most).groupBy("rep_id").applyInArrow(sampled, LOCATIONS), "na")
+        if cells.select("rep_id").distinct().count() == n_reps:
+            return cells
+        if most >= p:
+            raise ValueError("no set of cells was found")
+        most *= 4
 
 
 def locations(m: Matrix, na_loc, n_cols: int) -> DataFrame:
     """Given locations (a DataFrame; or per repetition linear positions or (row, col) pairs, from 1) in one form, checked."""
     if isinstance(na_loc, DataFrame):
+        outside = ~(F.col("row_idx").between(1, m.n) & F.col("col_idx").between(1, n_cols))
+        reps = na_loc.groupBy("rep_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce(outside, F.lit(True))).alias("bad"))
+        seen = reps.agg(F.sum("bad").alias("bad"), F.min("n").alias("least"), F.max("n").alias("most")).first()
+        if not seen["most"]:
+            raise ValueError("no cells are given")
+        if seen["bad"]:
+            raise ValueError(f"{seen['bad']} cells are outside the matrix")
+        if seen["least"] != seen["most"]:
+            raise ValueError("repetitions differ in size")
         return na_loc
-    reps = na_loc if na_loc and isinstance(na_loc[0], (list, tuple)) and na_loc[0] and isinstance(na_loc[0][0], (list, tuple)) or (na_loc and isinstance(na_loc[0], list) and not isinstance(na_loc[0][0], (list, tuple))) else [na_loc]
+    pair = lambda c: isinstance(c, (list, tuple))
+    # one repetition: positions, or tuples; several: lists of these
+    several = bool(na_loc) and isinstance(na_loc[0], list)
+    reps = na_loc if several else [na_loc]
     rows = []
     for rep, cells in enumerate(reps, 1):
         for o, c in enumerate(cells, 1):
-            i, j = c if isinstance(c, (list, tuple)) else ((c - 1) % m.n + 1, (c - 1) // m.n + 1)
+            i, j = c if pair(c) else ((c - 1) % m.n + 1, (c - 1) // m.n + 1)
             if not (1 <= i <= m.n and 1 <= j <= n_cols):
                 raise ValueError(f"cell {c} is outside the matrix")
             rows.append((rep, o, i, j))
@@ -112,39 +149,86 @@ def at_cells(m: Matrix, vectors: DataFrame, cells: DataFrame) -> DataFrame:
     return both.select("ord", F.try_element_at("t", F.col("row_idx")).alias("truth"), F.try_element_at("e", F.col("row_idx")).alias("estimate"))
 
 
+def _column(values: list) -> tuple[str, list]:
+    """A column type for the values that one parameter takes, and the values in it; what has no type of its own becomes JSON."""
+    there = [v for v in values if v is not None]
+    if all(isinstance(v, bool) for v in there):
+        return "boolean", values
+    if all(isinstance(v, int) and not isinstance(v, bool) for v in there):
+        return "long", values
+    if all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in there):
+        return "double", [v if v is None else float(v) for v in values]
+    if all(isinstance(v, str) for v in there):
+        return "string", values
+    if all(isinstance(v, (list, tuple)) and all(isinstance(x, (int, float)) for x in v) for v in there):
+        return "array<double>", [v if v is None else [float(x) for x in v] for v in values]
+    return "string", [v if v is None else json.dumps(v, default=str, sort_keys=True) for v in values]
+
+
+def probed(m: Matrix, method: Callable, p: dict) -> None:
+    """Raises if a custom function can't take the parameters, or gives another shape or infinite values."""
+    try:
+        inspect.signature(method).bind(m, **p)
+    except TypeError as e:
+        raise ValueError(f"the function can't be called with {sorted(p)}: {e}") from e
+    made = method(m, **p)
+    if not isinstance(made, Matrix) or made.samples != m.samples:
+        raise ValueError("the function must give a Matrix of the same samples")
+    length = F.size("vals") != m.n
+    odd = made.vectors.agg(F.count("*").alias("n"), F.count_if(length).alias("short"), F.count_if(F.exists("vals", lambda v: F.abs(v) == INF)).alias("inf")).first()
+    if odd["n"] != m.vectors.count() or odd["short"] or not made.vectors.join(m.vectors, "col_idx", "left_anti").isEmpty():
+        raise ValueError("the function must give the same features")
+    if odd["inf"]:
+        raise ValueError("the function gives infinite values")
+
+
 def tune(m: Matrix, parameters: list[dict], method: str | Callable, na_loc=None, **sampling) -> DataFrame:
-    """param_set, rep_id, result, error: one run for each distinct parameter set and repetition.
+    """One row for each distinct parameter set and repetition: the parameters, param_set, rep_id, result, error.
 
-    method: a name of METHODS, or a function of a Matrix and parameters that gives a Matrix. A run's error is kept
-    and leaves its result empty. For the named neighbour methods only columns with masked cells are completed.
+    method: a name of METHODS, or a function of a Matrix and parameters that gives a Matrix, which is tried once
+    first. A run's error is kept and leaves its result empty. For the named neighbour methods only columns with
+    masked cells are completed. Parameters may be lists.
     """
     spark = m.vectors.sparkSession
-    names = {r["col_idx"]: r["feature"] for r in m.vectors.select("col_idx", "feature").collect()}
-    cells = locations(m, na_loc, len(names)) if na_loc is not None else sample_na_loc(m, **sampling)
-    cells = cells.cache()
+    cells = locations(m, na_loc, m.vectors.count()) if na_loc is not None else sample_na_loc(m, **sampling)
+    cells = stored(cells.select("rep_id", "ord", "row_idx", "col_idx"), "cells")
     reps = sorted(r["rep_id"] for r in cells.select("rep_id").distinct().collect())
-    sets = [dict(s) for s in dict.fromkeys(tuple(sorted(p.items(), key=lambda kv: kv[0])) for p in parameters or [{}])]
+    sets = list({json.dumps(p, sort_keys=True, default=str): p for p in parameters or [{}]}.values())
+    names = list(dict.fromkeys(k for p in sets for k in p))
+    if clash := {"param_set", "rep_id", "result", "error"} & set(names):
+        raise ValueError(f"parameters can't be named {sorted(clash)}")
     if isinstance(method, str):
-        function, allowed = METHODS[method]
+        function, allowed, required = METHODS[method]
         for p in sets:
             if unknown := set(p) - allowed:
                 raise ValueError(f"unknown parameters: {sorted(unknown)}")
             if "subset" in p:
                 raise ValueError("subset follows from the masked cells")
+            if lacking := [r for r in required if not any(p.get(k) is not None for k in r)]:
+                raise ValueError(f"lacking parameters: {lacking}")
+    else:
+        probed(masked(m, cells.where(F.col("rep_id") == reps[0])), method, sets[0])
+    typed = {k: _column([p.get(k) for p in sets]) for k in names}
+    schema = ", ".join([f"`{k}` {t}" for k, (t, _) in typed.items()] + ["param_set int, rep_id int, error string"])
     out = None
     for rep, (i, p) in itertools.product(reps, enumerate(sets, 1)):
         mine = cells.where(F.col("rep_id") == rep)
         hidden = masked(m, mine)
+        said, pairs = None, None
         try:
             if isinstance(method, str):
                 extra = {"subset": sorted(r[0] for r in mine.select("col_idx").distinct().collect())} if "subset" in inspect.signature(function).parameters else {}
                 vectors = function(hidden, **p, **extra).df
             else:
                 vectors = method(hidden, **p).vectors
-            found = [(r["truth"], r["estimate"]) for r in at_cells(m, vectors, mine).orderBy("ord").collect()]
-            row = spark.createDataFrame([(i, rep, found, None)], RESULT)
+            each = F.struct("ord", "truth", "estimate")
+            pairs = stored(at_cells(m, vectors, mine).agg(F.transform(F.array_sort(F.collect_list(each)), lambda x: F.struct(x["truth"].alias("truth"), x["estimate"].alias("estimate"))).alias("result")), "run")
         except Exception as e:  # noqa: BLE001  each run's failure is part of the result
-            row = spark.createDataFrame([(i, rep, [], str(e)[:500])], RESULT)
+            said = str(e)[:500]
+        row = spark.createDataFrame([(*(v[i - 1] for _, v in typed.values()), i, rep, said)], schema)
+        kind = "array<struct<truth:double,estimate:double>>"
+        row = row.withColumn("result", F.array().cast(kind)) if pairs is None else row.crossJoin(pairs.select(F.col("result").cast(kind)))  # one row each
+        row = row.select(*[F.col(f"`{k}`") for k in names], "param_set", "rep_id", "result", "error")
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -6,6 +6,7 @@ cells masked by a fixed rule.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,20 @@ def user_types(spark: SparkSession, sf_dir: str) -> Matrix:
     return from_cells(e.groupBy(F.col("user_id").alias("sample"), name.alias("feature")).agg(F.avg("value").alias("value")))
 
 
+def holed_days(spark: SparkSession, sf_dir: str) -> Matrix:
+    """User days of which the first twelve have few users left."""
+    m = user_days(spark, sf_dir)
+    vals = F.transform("vals", lambda v, i: F.when((F.col("location") > 12) | (i % 20 == 0), v))
+    return m.with_vectors(m.vectors.withColumn("vals", vals))
+
+
+def holed_types(spark: SparkSession, sf_dir: str) -> Matrix:
+    """User types of which one has few users left."""
+    m = user_types(spark, sf_dir)
+    vals = F.transform("vals", lambda v, i: F.when(~F.col("feature").startswith("purchase_") | (i % 5 == 0), v))
+    return m.with_vectors(m.vectors.withColumn("vals", vals))
+
+
 def masked_embeddings(spark: SparkSession, sf_dir: str) -> Matrix:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("dim", "v"))
     h = (F.col("vec_id") * 7385 + F.col("dim") * 1934 + 1) % 10007
@@ -57,6 +72,12 @@ def type_groups(m: Matrix) -> DataFrame:
     return m.vectors.select(F.substring_index("feature", "_", 1).alias("grp"), "feature")
 
 
+def aux_groups(m: Matrix) -> DataFrame:
+    """Two groups that lend each other features, one with parameters of its own."""
+    names = lambda kind, last: [f"{kind}_{i:02d}" for i in range(1, last + 1)]
+    return groups.table_of(m.vectors.sparkSession, {"a": {"feature": names("click", 12), "aux": names("view", 6), "parameters": {"k": 2}}, "b": {"feature": names("view", 8), "aux": names("click", 4)}})
+
+
 def deterministic_cells(m: Matrix, reps: int) -> DataFrame:
     out = None
     for rep in range(reps):
@@ -112,6 +133,10 @@ def covered(spark: SparkSession, d: str) -> DataFrame:
     return windows.coverage(slide_windows(user_days(spark, d), 10, 4)).select("col_idx", "n_windows")
 
 
+def overlapping(spark: SparkSession, d: str) -> DataFrame:
+    return windows.overlap_regions(slide_windows(user_days(spark, d), 10, 4))
+
+
 def variances(spark: SparkSession, d: str) -> DataFrame:
     return stats.column_variances(user_days(spark, d)).select("feature", F.round("variance", 6).alias("variance"))
 
@@ -157,6 +182,14 @@ def queries() -> dict[str, Query]:
         "slide_knn_overlap": completed(u, lambda m: slide_impute(m, 10, 4, k=3, dist_pow=1.0)),
         "slide_knn_subset": completed(u, lambda m: slide_impute(m, 10, 4, k=3, subset=HALF)),
         "slide_knn_flank": completed(u, lambda m: slide_impute(m, 5, flank=True, k=3, subset=["d03", "d15", "d28"])),
+        "slide_knn_no_post": completed(u, lambda m: slide_impute(m, 10, 4, k=3, post_imp=False)),
+        "slide_knn_min_window": completed(u, lambda m: slide_impute(m, 7, k=3, min_window_n=5)),
+        "slide_knn_skip": completed(holed_days, lambda m: slide_impute(m, 8, 3, k=3)),
+        "slide_knn_mean": completed(holed_days, lambda m: slide_impute(m, 8, 3, k=3, on_infeasible="mean")),
+        "windows_overlap_regions": overlapping,
+        "group_knn_skip": completed(holed_types, lambda m: group_impute(m, type_groups(m), k=4, on_infeasible="skip")),
+        "group_knn_mean": completed(holed_types, lambda m: group_impute(m, type_groups(m), k=4, on_infeasible="mean")),
+        "group_knn_aux": completed(g, lambda m: group_impute(m, aux_groups(m), allow_unmapped=True, k=4)),
         "groups_long_to_nested": group_table(),
         "groups_subset_demote": group_table(["click_01", "click_02", "view_05"]),
         "group_knn": completed(g, lambda m: group_impute(m, type_groups(m), k=4)),
@@ -220,6 +253,11 @@ def _single(base: str, wanted: str = "true", **options) -> str:
     return f"with {base}, cells as (select 0 as part, sample, feature, col_idx, {wanted} as wanted, value from x), {_knn(**options)} select sample, feature, round(done_value, 6) as value from done"
 
 
+def _renamed(text: str, i: int) -> str:
+    """The CTEs of _knn with names of their own."""
+    return re.sub(r"\b(st|el|pr|df|rk|nb|wt|im|kn|done|cells)\b", lambda m: f"{m[1]}{i}", text)
+
+
 def _windows(size: float, overlap: float) -> str:
     return f"""j as (select a.col_idx as i, max(b.col_idx) as e,
   coalesce(min(case when b.col_idx > a.col_idx and b.location >= a.location + {size} - {overlap} then b.col_idx end), max(b.col_idx) + 1) as nx
@@ -228,12 +266,18 @@ ws as (select 1::bigint as s union all select j.nx from ws join j on j.i = ws.s
 w as (select row_number() over (order by s)::int as window_id, s::int as "start", j.e::int as "end", (j.e - s + 1)::int as window_n from ws join j on j.i = ws.s)"""
 
 
-def _slide(size: float, overlap: float, wanted: str = "true", **options) -> str:
-    return f"""with recursive {U}, {_windows(size, overlap)},
-hit as (select distinct w.window_id, w."start", w."end" from w join f on f.col_idx between w."start" and w."end" where {wanted}),
+def _feasible(k: int) -> str:
+    return f"ok as (select part from el group by 1 having count(*) > {k} and bool_or(role = 1))"
+
+
+def _slide(size: float, overlap: float, wanted: str = "true", least: int = 1, base: str = U, policy: str | None = None, **options) -> str:
+    value = {"mean": "case when part in (select part from ok) then done_value else coalesce(value, avg(value) over (partition by part, col_idx)) end"}.get(policy, "done_value")
+    kept = f", {_feasible(options['k'])}, done2 as (select sample, feature, part, wanted, {value} as done_value from done{' where part in (select part from ok)' if policy == 'skip' else ''})" if policy else ""
+    return f"""with recursive {base}, {_windows(size, overlap)},
+hit as (select distinct w.window_id, w."start", w."end" from w join f on f.col_idx between w."start" and w."end" where w.window_n >= {least} and {wanted}),
 cells as (select h.window_id as part, x.sample, x.feature, x.col_idx, {wanted} as wanted, x.value from hit h join x on x.col_idx between h."start" and h."end"),
-{_knn(**options)},
-mean as (select sample, feature, case when count(*) = count(done_value) then avg(done_value) end as v, count(*) as n from done where wanted group by 1, 2)
+{_knn(**options)}{kept},
+mean as (select sample, feature, case when count(*) = count(done_value) then avg(done_value) end as v, count(*) as n from done{'2' if policy else ''} where wanted group by 1, 2)
 select x.sample, x.feature, round(case when mean.n is null then x.value else coalesce(mean.v, x.value) end, 6) as value from x left join mean on mean.sample = x.sample and mean.feature = x.feature"""
 
 
@@ -252,6 +296,17 @@ def _unpivot(names: tuple[str, ...], digits: int) -> str:
     return " union all ".join(f"select param_set, rep_id, n, n_miss, '{k}' as metric, round({k}, {digits}) as estimate from m" for k in names)
 
 
+def _group(base: str, policy: str) -> str:
+    value = "done_value" if policy == "error" else f"case when part in (select part from ok) then done_value else {'coalesce(value, avg(value) over (partition by part, col_idx))' if policy == 'mean' else 'value'} end"
+    return f"with {base}, cells as (select split_part(feature, '_', 1) as part, sample, feature, col_idx, true as wanted, value from x), {_knn(4)}, {_feasible(4)} select sample, feature, round({value}, 6) as value from done"
+
+
+HOLED_U = U.replace("x as (", "xx as (") + """,
+sx as (select sample, row_number() over (order by sample) - 1 as row from s),
+x as (select xx.sample, feature, col_idx, location, case when location > 12 or row % 20 = 0 then value end as value from xx join sx on sx.sample = xx.sample)"""
+HOLED_G = G.replace("x as (", "xx as (") + """,
+sx as (select sample, row_number() over (order by sample) - 1 as row from s),
+x as (select xx.sample, feature, col_idx, case when feature not like 'purchase_%' or row % 5 = 0 then value end as value from xx join sx on sx.sample = xx.sample)"""
 MASK = "(h * h * h + 17 * h) % 997 < 100"
 
 
@@ -263,11 +318,7 @@ y as (select *, value is not null and {MASK} as hid from hx),
 yc as (select col_idx from y group by 1 having bool_or(hid))"""
 
     def grid_run(i: int, k: int) -> str:
-        names = ("st", "el", "pr", "df", "rk", "nb", "wt", "im", "kn", "done", "cells")
-        text = f"cells as (select 0 as part, sample, feature, col_idx, col_idx in (select col_idx from yc) as wanted, case when hid then null else value end as value from y), {_knn(k)}"
-        import re
-
-        return re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: f"{m[1]}{i}", text)
+        return _renamed(f"cells as (select 0 as part, sample, feature, col_idx, col_idx in (select col_idx from yc) as wanted, case when hid then null else value end as value from y), {_knn(k)}", i)
 
     grid = f"{hidden}, {grid_run(1, 3)}, {grid_run(2, 8)}, p as (" + " union all ".join(f"select {i} as param_set, 1 as rep_id, y.value as truth, d.done_value as estimate from y join done{i} d on d.sample = y.sample and d.col_idx = y.col_idx where y.hid" for i in (1, 2)) + ")"
     custom = f"{hidden}, p as (select 1 as param_set, 1 as rep_id, value as truth, 10.0::double as estimate from y where hid)"
@@ -307,7 +358,22 @@ cells as (select fw.window_id as part, x.sample, x.feature, x.col_idx, x.col_idx
 {_knn(3)} select x.sample, x.feature, round(coalesce(d.done_value, x.value), 6) as value from x left join (select * from done where wanted) d on d.sample = x.sample and d.feature = x.feature""",
         "groups_long_to_nested": f"with {G} select split_part(feature, '_', 1) as grp, feature, 'feature' as role from f",
         "groups_subset_demote": f"with {G} select split_part(feature, '_', 1) as grp, feature, case when feature in {asked} then 'feature' else 'aux' end as role from f where split_part(feature, '_', 1) in ('click', 'view')",
-        "group_knn": f"with {G}, cells as (select split_part(feature, '_', 1) as part, sample, feature, col_idx, true as wanted, value from x), {_knn(4)} select sample, feature, round(done_value, 6) as value from done",
+        "group_knn": _group(G, "error"),
+        "group_knn_skip": _group(HOLED_G, "skip"),
+        "group_knn_mean": _group(HOLED_G, "mean"),
+        "group_knn_aux": f"""with {G}, m as (select *, split_part(feature, '_', 1) as kind, split_part(feature, '_', 2)::int as day from x),
+{_renamed(f"cells as (select 'a' as part, sample, feature, case when kind = 'click' then day else 100 + day end as col_idx, kind = 'click' as wanted, value from m where kind = 'click' and day <= 12 or kind = 'view' and day <= 6), {_knn(2)}", 1)},
+{_renamed(f"cells as (select 'b' as part, sample, feature, case when kind = 'view' then day else 100 + day end as col_idx, kind = 'view' as wanted, value from m where kind = 'view' and day <= 8 or kind = 'click' and day <= 4), {_knn(4)}", 2)},
+n as (select sample, feature, done_value from done1 where wanted union all select sample, feature, done_value from done2 where wanted)
+select x.sample, x.feature, round(coalesce(n.done_value, x.value), 6) as value from x left join n on n.sample = x.sample and n.feature = x.feature""",
+        "slide_knn_no_post": _slide(10, 4, k=3, post=False),
+        "slide_knn_min_window": _slide(7, 0, k=3, least=5),
+        "slide_knn_skip": _slide(8, 3, base=HOLED_U, policy="skip", k=3),
+        "slide_knn_mean": _slide(8, 3, base=HOLED_U, policy="mean", k=3),
+        "windows_overlap_regions": f"""with recursive {U}, {_windows(10, 4)},
+c as (select f.col_idx from f join w on f.col_idx between w."start" and w."end" group by 1 having count(*) > 1),
+r as (select col_idx, col_idx - row_number() over (order by col_idx) as run from c)
+select min(col_idx)::int as "start", max(col_idx)::int as "end" from r group by run""",
         "metrics_all": _metric_sql(pairs) + _unpivot(("mae", "rmse", "bias", "mape", "rsq", "rsq_trad"), 4),
         "tune_knn_grid": _metric_sql(grid) + _unpivot(("mae", "rmse"), 6),
         "tune_custom_fill": _metric_sql(custom) + _unpivot(("mae", "rmse"), 6),

@@ -5,12 +5,16 @@ Rows are samples (few), columns are features (any number). Missing is null; NaN
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lacunar.sources.store import stored
+
 VECTORS = "col_idx int, feature string, location double, vals array<double>"
 
 
@@ -30,38 +34,79 @@ class Matrix:
     def n(self) -> int:
         return len(self.samples)
 
+    def labels(self) -> DataFrame:
+        """row_idx (from 1), sample; a local table, which Spark broadcasts only while it is small."""
+        return self.vectors.sparkSession.createDataFrame([(i, s) for i, s in enumerate(self.samples, 1)] or [(0, "")], ["row_idx", "sample"]).withColumn("row_idx", F.col("row_idx").cast("int"))
+
     def cells(self) -> DataFrame:
         """sample, row_idx, feature, col_idx, location, value."""
-        labels = F.array(*[F.lit(s) for s in self.samples])
-        at = self.vectors.select("col_idx", "feature", "location", F.posexplode("vals").alias("p", "value"))
-        return at.select(F.element_at(labels, F.col("p") + 1).alias("sample"), (F.col("p") + 1).alias("row_idx"), "feature", "col_idx", "location", "value")
+        at = self.vectors.select("col_idx", "feature", "location", F.posexplode("vals").alias("p", "value")).withColumn("row_idx", F.col("p") + 1)
+        return at.join(self.labels(), "row_idx").select("sample", "row_idx", "feature", "col_idx", "location", "value")
 
     def with_vectors(self, vectors: DataFrame) -> Matrix:
         return Matrix(vectors, self.samples)
 
+    def kept(self) -> Matrix:
+        """The same with its vectors computed once and stored."""
+        return self.with_vectors(stored(self.vectors, "vectors"))
+
     def wide(self) -> DataFrame:
         """One row per sample, one column per feature; for few features."""
         return self.cells().groupBy("row_idx", "sample").pivot("feature").agg(F.first("value")).orderBy("row_idx").drop("row_idx")
 
     def to_numpy(self) -> np.ndarray:
         """samples x features, in driver memory."""
-        rows = self.vectors.orderBy("col_idx").select("vals").collect()
-        return np.array([[np.nan if v is None else v for v in r["vals"]] for r in rows], float).T.reshape(self.n, -1)
+        t = self.vectors.orderBy("col_idx").select("vals").toArrow()
+        return dense(t.column("vals")).T.reshape(self.n, -1)
+
+
+def dense(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of lists of one length as rows of a matrix, null as NaN."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
+
+
+def lists(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists, NaN as null."""
+    flat = pa.array(x.ravel(), pa.float64(), from_pandas=True)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), flat)
 
 
 def from_cells(cells: DataFrame, sample: str = "sample", feature: str = "feature", value: str = "value", location: str | None = None) -> Matrix:
-    """From long cells; absent cells are missing. Features are in order of location, then name; of repeated cells one value is used."""
-    place = F.first(F.col(location).cast("double"), True) if location else F.lit(None).cast("double")
-    cells = cells.select(F.col(sample).alias("s"), F.col(feature).alias("f"), clean(F.col(value)).alias("v"), *([F.col(location)] if location else [])).where("s is not null and f is not null").dropDuplicates(["s", "f"])
-    samples = [r["s"] for r in cells.select("s").distinct().orderBy("s").collect()]
-    ids = cells.sparkSession.createDataFrame([(s, i) for i, s in enumerate(samples)], cells.select(F.col("s").alias("s2"), F.lit(0).alias("i")).schema) if samples else None
-    if ids is None:
-        return Matrix(cells.sparkSession.createDataFrame([], VECTORS), [])
-    held = cells.join(F.broadcast(ids), F.col("s") == F.col("s2")).groupBy("f").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"), place.alias("location"))
-    vals = F.transform(F.sequence(F.lit(0), F.lit(len(samples) - 1)), lambda i: F.try_element_at("m", i))
-    order = Window.orderBy(F.col("location").asc_nulls_last(), "f")
-    out = held.select(F.row_number().over(order).alias("col_idx"), F.col("f").cast("string").alias("feature"), "location", vals.alias("vals"))
-    return Matrix(out, samples)
+    """From long cells; absent cells are missing. Features are in order of location, then name; of repeated cells the largest value is used.
+
+    Each feature's cells are gathered once and put in their samples' places; the vectors are stored, so
+    that everything after reads them instead of the cells.
+    """
+    place = F.min(F.col("l")) if location else F.lit(None).cast("double")
+    cells = cells.select(F.col(sample).alias("s"), F.col(feature).alias("f"), clean(F.col(value)).alias("v"), (F.col(location).cast("double") if location else F.lit(None).cast("double")).alias("l")).where("s is not null and f is not null")
+    spark = cells.sparkSession
+    samples = [r["s"] for r in cells.select("s").distinct().collect()]
+    samples.sort()
+    if not samples:
+        return Matrix(spark.createDataFrame([], VECTORS), [])
+    ids = spark.createDataFrame([(s, i) for i, s in enumerate(samples)], cells.select(F.col("s").alias("s2"), F.lit(0).alias("i")).schema)
+    held = cells.join(ids, F.col("s") == F.col("s2")).groupBy("f").agg(F.collect_list(F.struct("i", "v")).alias("c"), place.alias("location"))
+    held = held.select(F.col("f").cast("string").alias("feature"), "location", F.col("c.i").alias("i"), F.col("c.v").alias("v"))
+    n = len(samples)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at, values = b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy(zero_copy_only=False).astype(float)
+                x = np.full(b.num_rows * n, np.nan)
+                np.fmax.at(x, np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy()) * n + at, values)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(x.reshape(-1, n))], ["feature", "location", "vals"])
+
+    held = stored(held.mapInArrow(placed, "feature string, location double, vals array<double>"), "cells")
+    return Matrix(_numbered(held), samples)
+
+
+def _numbered(held: DataFrame) -> DataFrame:
+    """Adds col_idx; only the names meet in one task."""
+    order = Window.orderBy(F.col("location").asc_nulls_last(), "feature")
+    names = held.select("feature", "location").withColumn("col_idx", F.row_number().over(order)).select(F.col("feature").alias("_f"), "col_idx")
+    return held.join(names, F.col("feature") == F.col("_f")).select("col_idx", "feature", "location", "vals")
 
 
 def from_wide(table: DataFrame, sample: str) -> Matrix:
@@ -69,8 +114,8 @@ def from_wide(table: DataFrame, sample: str) -> Matrix:
     names = [c for c in table.columns if c != sample]
     long = table.select(F.col(sample).alias("sample"), *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["sample"], names, "feature", "value")
     made = from_cells(long)
-    order = F.array(*[F.lit(c) for c in names])
-    return made.with_vectors(made.vectors.withColumn("col_idx", F.array_position(order, F.col("feature")).cast("int")))
+    order = table.sparkSession.createDataFrame([(c, i) for i, c in enumerate(names, 1)], "feature string, place int")
+    return made.with_vectors(made.vectors.join(order, "feature").select(F.col("place").alias("col_idx"), "feature", "location", "vals"))
 
 
 def from_numpy(spark: SparkSession, x: np.ndarray, names: list[str] | None = None, location: list[float] | None = None) -> Matrix:
