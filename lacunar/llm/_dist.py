@@ -3,33 +3,31 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lacunar.sources.store import discard, fresh_path, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset (as in tests) a local one."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = f"{tempfile.gettempdir()}/lacunar-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", place)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(place)
-    return place
 
+def row_of(docs: DataFrame, name: str = "row") -> Column:
+    """All columns of docs as one struct, so that no name that an operator adds can meet one of theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+def unrolled(columns: list[str], name: str = "row", **replaced: Column) -> list[Column]:
+    """The columns of row_of again, some replaced."""
+    return [replaced.get(c, F.col(name)[c]).alias(c) for c in columns]
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and is computed once."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def chunks_of(rows: int) -> int:
+    """How many chunks to rank or sum `rows` rows by: as many as a chunk has rows, so that neither grows with the input alone."""
+    return 1 + int(rows**0.5)
 
 
 def release(spark: SparkSession) -> None:
@@ -68,7 +66,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     and a hub's neighbours are pre-aggregated, never gathered. The lineage is cut at each round.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    pairs = stored(pairs, "edges")
+    spark = edges.sparkSession
+    path = fresh_path(spark, "edges")
+    pairs = stored(pairs, "edges", path)
     last = None
     for _ in range(most):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -76,7 +76,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        pairs = stored(small, "edges")
+        nxt = fresh_path(spark, "edges")
+        pairs = stored(small, "edges", nxt)
+        discard(spark, path)
+        path = nxt
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
         if state == last:
             break

@@ -1,10 +1,11 @@
 """Mixing sources to target weights.
 
-Each source's words form a stream, cut into blocks of `block` words. Each output shard draws how
-many blocks it takes from each source: the whole part of its expectation, and a multinomial draw
-for what is left. A source's slots are numbered over the shards; slot k reads the block that a
-pseudorandom permutation of the source's block numbers, another at each round through them, gives
-for k. Slots and documents are joined by (source, block).
+Each source's words form a stream, cut into blocks of `block` words, and has as many slots in the mix
+as its target needs. A multinomial draw for each source says how many of its slots each output shard
+has; so a shard's counts vary as draws with the target weights as odds do, and a source's counts over
+all shards are its target at every size. A source's slots are numbered over the shards; slot k reads
+the block that a pseudorandom permutation of the source's block numbers, another at each round
+through them, gives for k. Slots and documents are joined by (source, block).
 
 Streams are laid out chunk by chunk, so a source that holds a third of all rows is cut by many tasks.
 """
@@ -17,13 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from lacunar.llm._dist import running_total, salt, stored
+from lacunar.llm._dist import chunks_of, row_of, running_total, salt, unrolled
 from lacunar.llm._text import mix, word_counts, words
+from lacunar.sources.store import stored
 
 BLOCK = 32
 SHARD_SLOTS = 8192
-CHUNK_DOCS = 20_000
+#: A task draws the counts of so many shards.
+SHARD_CHUNK = 1024
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
@@ -63,6 +67,25 @@ def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def shard_counts(n: int, shards: int, chunk: int, seed: list[int], width: int = SHARD_CHUNK) -> tuple[int, np.ndarray]:
+    """Of a multinomial draw of n over all shards, equally likely: what comes before the chunk of `width` shards, and the chunk's counts.
+
+    Halving the shards again and again, with a binomial draw for each half, draws the same for every chunk without
+    going through the others.
+    """
+    a, b, before = 0, -(-shards // width), 0
+    while b - a > 1:
+        middle = (a + b) // 2
+        share = (middle - a) * width / (min(shards, b * width) - a * width)
+        left = int(np.random.default_rng([*seed, a, b]).binomial(n, share))
+        if chunk < middle:
+            n, b = left, middle
+        else:
+            before, n, a = before + left, n - left, middle
+    m = min(shards, b * width) - a * width
+    return before, np.random.default_rng([*seed, a]).multinomial(n, np.full(m, 1 / m))
+
+
 def sizes_of(docs: DataFrame) -> DataFrame:
     """doc_id, source, key (a hash of the text), size (number of words) of each row."""
 
@@ -91,30 +114,22 @@ def mixture(sizes: DataFrame, seed: int = 17, block: int = BLOCK, shard_slots: i
     wanted = [min(round(g * b / x), int(most * b)) if x else 0 for g, b, x in zip(goal, blocks, n)]
     table = [(r["source"], i, n[i], goal[i], blocks[i]) for i, r in enumerate(per_source)]
     known = spark.createDataFrame(table, "_source string, sid int, source_size long, target double, n_blocks long")
-    slots_in_all = sum(wanted)
-    shards = -(-slots_in_all // shard_slots)
-    odds = [w / max(1, slots_in_all) for w in wanted]
+    shards = max(1, -(-sum(wanted) // shard_slots))
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shard, sid, count = [], [], []
-            for t in b.column(0).to_pylist():
-                size = min(shard_slots, slots_in_all - t * shard_slots)
-                mean = size * np.array(odds)
-                fixed = np.floor(mean + 1e-9).astype(np.int64)
-                rest = np.maximum(mean - fixed, 0)
-                if (more := size - fixed.sum()) > 0 and rest.sum() > 0:
-                    fixed = fixed + np.random.default_rng([seed, t]).multinomial(more, rest / rest.sum())
-                for i in np.flatnonzero(fixed):
-                    shard.append(t)
-                    sid.append(int(i))
-                    count.append(int(fixed[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(sid, pa.int32()), pa.array(count, pa.int64())], ["shard", "sid", "count"])
-
-    counts = spark.range(0, shards, 1, max(1, min(shards // 64, 10_000))).mapInArrow(drawn, "shard long, sid int, count long")
-    counts = running_total(counts.withColumn("_c", F.floor(F.col("shard") / 4096)), ["sid"], "_c", ["shard"], F.col("count"), "first")
+            for chunk in b.column(0).to_pylist():
+                for sid, slots in enumerate(wanted):
+                    before, counts = shard_counts(slots, shards, chunk, [seed, sid])
+                    first = before + np.cumsum(counts) - counts
+                    has = np.flatnonzero(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(has + chunk * SHARD_CHUNK), pa.array(np.full(len(has), sid, np.int32)), pa.array(first[has]), pa.array(counts[has])], ["shard", "sid", "first", "count"])
+
+    n_chunks = -(-shards // SHARD_CHUNK)
+    counts = spark.range(0, n_chunks, 1, min(n_chunks, 10_000)).mapInArrow(drawn, "shard long, sid int, first long, count long")
+    # the shards of a small mix are few and in one task: dealt out before their slots are made
+    counts = counts.repartition("shard", "sid")
     slots = counts.join(known.select("sid", "n_blocks"), "sid").select("shard", "sid", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("slot"))
-    slots = slots.where(F.col("slot") < most * F.col("n_blocks"))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,7 +140,7 @@ def mixture(sizes: DataFrame, seed: int = 17, block: int = BLOCK, shard_slots: i
     slots = slots.mapInArrow(mapped, "shard long, sid int, slot long, block long")
 
     docs = sizes.join(known, sizes["source"].eqNullSafe(known["_source"])).drop("_source")
-    chunks = 1 + sum(r["rows"] for r in per_source) // CHUNK_DOCS
+    chunks = chunks_of(sum(r["rows"] for r in per_source))
     laid = running_total(docs.withColumn("_c", salt(chunks, "doc_id")), ["sid"], "_c", ["doc_id", "key"], F.col("size"), "begin")
     laid = stored(laid.withColumn("_row", F.monotonically_increasing_id()).drop("_c"), "laid")
     parts = laid.where("size > 0").select("_row", "doc_id", "key", "sid", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block"))
@@ -139,30 +154,35 @@ def mixture(sizes: DataFrame, seed: int = 17, block: int = BLOCK, shard_slots: i
 
 
 def mix_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
+    """doc_id, size, source_size, target, taken of every row.
+
+    A null or wordless text has size 0 and nothing taken; a null doc_id stays; repeated rows are rows of their own,
+    each with what is taken of it. A null source is the last one. An empty table gives no rows.
+    """
     return mixture(sizes_of(docs), seed, **options)[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_texts(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     """The mix itself: docs with text replaced by the words that the mix takes, parts that it reads again after a line break.
 
-    A document of which nothing is taken is left out. Rows alike in doc_id and text are one, with all that is
-    taken of them.
+    A document of which nothing is taken is left out: so is one without words, or with a null text. Rows alike in
+    doc_id and text are one, with all that is taken of them and one row's other columns, the same one at each rerun.
+    A null doc_id is an id like others. Long texts are cut by block like all. An empty table gives an empty mix.
     """
     parts = mixture(sizes_of(docs), seed, **options)[2]
     # as many entries as the document has blocks
     lists = parts.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("first", "words", "reads"))).alias("parts"))
-    lists = lists.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "parts")
-    keyed = docs.withColumn("_k", F.xxhash64(F.col("text").cast("string")))
-    met = keyed.join(lists, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key"))).dropDuplicates(["_id", "_key"])
+    whole = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("row_id"), F.xxhash64(F.col("text").cast("string")).alias("row_key"))
+    met = whole.join(lists, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_key") == F.col("key")))
+    met = met.groupBy("doc_id", "key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"), F.first("parts").alias("parts"))
     names = docs.columns
-    at = names.index("text")
-    out = met.select(*docs.columns, F.col("parts.first").alias("_f"), F.col("parts.words").alias("_w"), F.col("parts.reads").alias("_r"))
+    out = met.select("row", *[F.col("parts")[c].alias(c) for c in ("first", "words", "reads")])
+    schema = StructType([out.schema["row"], StructField("text", StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, firsts, counts, reads in zip(b.column(at).to_pylist(), *(c.to_pylist() for c in b.columns[-3:])):
+            for text, firsts, counts, reads in zip(b.column(0).field("text").cast(pa.string()).to_pylist(), *(c.to_pylist() for c in b.columns[1:])):
                 raw = text.encode()
                 starts = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
                 starts = np.append(starts, len(raw))
@@ -171,8 +191,6 @@ def mixed_texts(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
                     spans = [raw[starts[f] : starts[min(f + n, len(starts) - 1)]] for f, n, m in zip(firsts, counts, reads) if m >= r]
                     rounds.append(b"".join(spans).rstrip())
                 texts.append(b"\n".join(rounds).decode())
-            columns = list(b.columns[:-3])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
-    return out.mapInArrow(cut, docs.schema)
+    return out.mapInArrow(cut, schema).select(*unrolled(names, text=F.col("text")))
