@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacunar.llm._dist import running_total, salt, stored
+from lacunar.llm._dist import chunks_of, running_total, salt
+from lacunar.sources.store import stored
 
 CAPACITY = 1024
 END_ID = 2
-CHUNK_ROWS = 20_000
 CACHED_CHUNKS = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, payload {kind}"
@@ -169,7 +169,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counted = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     histogram = {r["length"]: r["count"] for r in counted}
     places = spark.createDataFrame(plan(histogram, capacity), "_l long, _lo long, _hi long, _seq long, _n long, _off long")
-    chunks = 1 + sum(histogram.values()) // CHUNK_ROWS
+    chunks = chunks_of(sum(histogram.values()))
     ranked = running_total(pieces.withColumn("_c", salt(chunks, "doc_id", "piece")), ["length"], "_c", ["doc_id", "piece"], F.lit(1), "_r")
     # the plan's rows are bounded by the capacity, not by the data
     met = ranked.join(F.broadcast(places), (F.col("length") == F.col("_l")) & (F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_hi")))
@@ -177,6 +177,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, json_file: str, ranks_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
+
+    A null or empty text is the end token alone. Repeated rows, and rows without doc_id, are packed each. A text of any
+    length is tokenised whole. An empty table gives no rows.
+    """
     pieces = tokenized(docs, json_file, ranks_file, capacity, end_id, crc32, "long").withColumnRenamed("payload", "ids_crc32")
     return pack(pieces, capacity)
