@@ -3,7 +3,7 @@
 A sketch holds every hash of a document's word shingles that lies below a fixed fraction of the
 hash range. Sketches of any two documents, however unequal, sample the same part of the range,
 so overlap and containment are read off directly, and the sketch of a union is the union of the
-sketches.
+sketches. A small set is held whole; against a larger one it counts by what lies below the fraction.
 """
 
 from __future__ import annotations
@@ -11,23 +11,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacunar.llm._dist import bound
+
 WORDS = 5
 #: One in SCALE shingle hashes is retained.
 SCALE = 8
-_LONG = "bigint"
+#: Of a text with at most so many distinct shingles all are retained, as a fixed fraction of few says little.
+DENSE = 64
+
 
+def limit_of(scale: int) -> Column:
+    return F.lit(-(1 << 63) + (1 << 64) // scale)
 
-def bound(value: Column, use) -> Column:
-    """use(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+
+def _made(hashes: Column, limit: Column) -> Column:
+    """The sketch of distinct hashes."""
+    few = F.size(hashes) <= DENSE
+    return F.struct(few.alias("whole"), F.array_sort(F.when(few, hashes).otherwise(F.filter(hashes, lambda x: x < limit))).alias("hashes"))
 
 
 def sketch(text: Column, k: int = WORDS, scale: int = SCALE) -> Column:
-    """Sorted distinct shingle hashes below 1/scale of the range; of a text with none below, its smallest hash.
+    """struct(whole, hashes): the sorted distinct shingle hashes below 1/scale of the range; all of them (whole) where there are at most DENSE.
 
-    Fewer than k words are one shingle; a text without words, or null, has an empty sketch.
+    Fewer than k words are one shingle; a text without words, or null, has an empty whole sketch.
     """
-    limit = -(1 << 63) + (1 << 64) // scale
+    limit = limit_of(scale)
     found = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
     def hashes(w: Column) -> Column:
@@ -36,34 +44,58 @@ def sketch(text: Column, k: int = WORDS, scale: int = SCALE) -> Column:
         return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(many)
 
     def below(h: Column) -> Column:
-        kept = F.filter(h, lambda x: x < F.lit(limit))
-        return F.when((F.size(kept) == 0) & (F.size(h) > 0), F.array(F.array_min(h))).otherwise(F.array_sort(F.array_distinct(kept)))
+        kept = F.array_sort(F.array_distinct(F.filter(h, lambda x: x < limit)))
+        # more than DENSE below the limit: no need to look at the others
+        return bound(kept, lambda x: F.when(F.size(x) > DENSE, F.struct(F.lit(False).alias("whole"), x.alias("hashes"))).otherwise(bound(F.array_distinct(h), lambda d: _made(d, limit))))
 
     return bound(bound(found, hashes), below)
 
 
 def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """The sketch of both texts' shingles together (shingles across the seam aside)."""
-    limit = -(1 << 63) + (1 << 64) // scale
-    both = F.array_union(a, b)
-    kept = F.filter(both, lambda x: x < F.lit(limit))
-    return F.when((F.size(kept) == 0) & (F.size(both) > 0), F.array(F.array_min(both))).otherwise(F.array_sort(kept))
+    """The sketch of the union of two sets of shingles, from their sketches alone."""
+    limit = limit_of(scale)
+    both = F.array_union(a["hashes"], b["hashes"])
+    below = F.struct(F.lit(False).alias("whole"), F.array_sort(F.filter(both, lambda x: x < limit)).alias("hashes"))
+    return F.when(a["whole"] & b["whole"], bound(both, lambda x: _made(x, limit))).otherwise(below)
+
 
+def common(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """struct(a, b): the hashes of two sketches in the part of the range that both retain."""
+    limit = limit_of(scale)
+    part = lambda x: F.when(a["whole"] & b["whole"], x["hashes"]).otherwise(F.filter(x["hashes"], lambda h: h < limit))
+    return F.struct(part(a).alias("a"), part(b).alias("b"))
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity; two empty sketches are alike."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
+def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated Jaccard similarity, exact for two whole sketches; two empty sets are alike.
+
+    Where neither retains anything in the part of the range that both cover, at most DENSE shingles stand against
+    more, of which none is known to be shared: 0.
+    """
+
+    def of(c: Column) -> Column:
+        union = F.size(F.array_union(c["a"], c["b"]))
+        return F.when(union > 0, F.size(F.array_intersect(c["a"], c["b"])) / union).otherwise((a["whole"] & b["whole"]).cast("double"))
+
+    return bound(common(a, b, scale), of)
+
+
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated share of a's shingles that b has, exact for two whole sketches; an empty set is contained in any.
+
+    Null where a has shingles but retains none in the part of the range that both cover.
+    """
+
+    def of(c: Column) -> Column:
+        n = F.size(c["a"])
+        return F.when(n > 0, F.size(F.array_intersect(c["a"], c["b"])) / n).when(F.size(a["hashes"]) == 0, F.lit(1.0))
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; an empty sketch is contained in any."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    return bound(common(a, b, scale), of)
 
 
 def as_text(a: Column) -> Column:
-    """16 lowercase hex digits per hash, in order."""
-    return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+    """w or s, for whole or scaled, and 16 lowercase hex digits per hash, in order."""
+    return F.concat(F.when(a["whole"], "w").otherwise("s"), F.array_join(F.transform(a["hashes"], lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), ""))
 
 
 def with_next(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
@@ -102,7 +134,9 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
 def edited_fingerprints(docs: DataFrame, k: int = WORDS, scale: int = SCALE, buckets: int | None = None) -> DataFrame:
     """Each document's sketch, that of its text with the second half replaced by the next document's start, and likenesses.
 
-    doc_id, text, edited, sketch, edited_sketch, near_edited, near_next. A null text is empty.
+    doc_id, text, edited, sketch, edited_sketch, near_edited, near_next, in_next (containment of the sketch in the next
+    document's). A null text is empty. Rows repeated under one doc_id are documents of their own, in the order of
+    their texts' hashes; rows without doc_id come last. A single row follows itself; an empty table gives no rows.
     """
     buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -111,4 +145,4 @@ def edited_fingerprints(docs: DataFrame, k: int = WORDS, scale: int = SCALE, buc
     half = F.floor(n / 2).cast("int")
     docs = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
     docs = docs.withColumn("edited_sketch", sketch(F.col("edited"), k, scale))
-    return docs.select("doc_id", "text", "edited", "sketch", "edited_sketch", likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+    return docs.select("doc_id", "text", "edited", "sketch", "edited_sketch", likeness(F.col("sketch"), F.col("edited_sketch"), scale).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch"), scale).alias("near_next"), containment(F.col("sketch"), F.col("next_sketch"), scale).alias("in_next"))

@@ -34,6 +34,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
+        "in_next",
     )
 
 
