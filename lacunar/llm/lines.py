@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacunar.llm._dist import fresh_path, stored
+from lacunar.llm._dist import bound, row_of, unrolled
+from lacunar.sources.store import discard, fresh_path, stored
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
@@ -72,6 +73,7 @@ class LineRuns:
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             paths, self.levels[level] = self.levels[level], []
             self._write(self.merged(self._read(paths)), level + 1)
+            discard(self.spark, *paths)
             level += 1
 
 
@@ -92,7 +94,7 @@ def repeated_lines(hashes: DataFrame, least_docs: int = LEAST_DOCS, batches: int
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """docs with text replaced by the lines that stay, and n_lines, n_dropped.
+    """docs with text replaced by the lines that stay, then n_lines, n_dropped, whatever docs' own columns are called.
 
     A null or empty text is one empty line, and an untouched null stays null. Rows of one doc_id are
     one document: each counts it once. A null doc_id takes no part in the counts and loses no line.
@@ -102,11 +104,22 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     long_ = F.array_distinct(F.transform(F.filter(keys, lambda k: F.length(k) >= least_chars), key_hash))
     hashes = docs.where("doc_id is not null and text is not null").select("doc_id", F.explode(long_).alias("h")).select("doc_id", "h.h1", "h.h2").distinct()
     hashes = stored(hashes, "lines")
-    repeated = repeated_lines(hashes, least_docs, batches, fanout)
-    gone = hashes.join(repeated, ["h1", "h2"]).where("doc_id < owner").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))
-    held = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.filter(lines, lambda x: ~((F.length(x) >= least_chars) & F.array_contains(F.col("_gone"), key_hash(F.call_function("btrim", F.translate(x, _UPPER, _LOWER), F.lit(" \t\n\x0b\x0c\r"))))))
-    held = held.withColumn("_kept", F.when(F.col("_gone").isNull(), lines).otherwise(kept))
-    out = held.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", (F.size(lines) - F.size("_kept")).cast("long"))
-    return out.withColumn("text", F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col("text"))).drop("_gone", "_kept")
+    # stored, so that the join's both sides are dealt alike and Spark may split a line that very many documents have
+    repeated = stored(repeated_lines(hashes, least_docs, batches, fanout), "repeated")
+    gone = hashes.join(repeated, ["h1", "h2"]).where("doc_id < owner").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    held = docs.select(row_of(docs), F.col("doc_id").alias("id")).join(gone, F.col("id") == F.col("gone_id"), "left")
+    text = F.col("row")["text"]
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    key = lambda x: F.when(F.length(x) >= least_chars, key_hash(F.call_function("btrim", F.translate(x, _UPPER, _LOWER), F.lit(" \t\n\x0b\x0c\r"))))
+
+    def kept(gone: Column) -> Column:
+        """The lines whose key isn't gone; looked up in about as many buckets as the root of their number."""
+        n = F.ceil(F.sqrt(F.size(gone))).cast("long")
+        buckets = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda b: F.filter(gone, lambda g: F.pmod(g["h1"], n) == b))
+        both = F.struct(buckets.alias("buckets"), F.transform(lines, key).alias("keys"))
+        return bound(both, lambda s: F.filter(lines, lambda x, i: F.coalesce(~F.array_contains(F.element_at(s["buckets"], (F.pmod(F.get(s["keys"], i)["h1"], n) + 1).cast("int")), F.get(s["keys"], i)), F.lit(True))))
+
+    held = held.withColumn("kept", F.when(F.col("gone").isNull(), lines).otherwise(kept(F.col("gone"))))
+    dropped = (F.size(lines) - F.size("kept")).cast("long")
+    columns = unrolled(docs.columns, text=F.when(dropped > 0, F.array_join("kept", "\n")).otherwise(text))
+    return held.select(*columns, F.size(lines).cast("long").alias("n_lines"), dropped.alias("n_dropped"))
