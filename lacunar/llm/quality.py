@@ -16,7 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from lacunar.llm._dist import row_of
 from lacunar.llm._labels import labelled_sample, remainder
 from lacunar.llm._text import lowered, slices, word_hashes
 
@@ -157,22 +159,28 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
     return Model(idf, blocks, rows.column("y").to_numpy()[order].astype(np.float64))
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and a score from 0 to 1 for each row's whole text; null counts as empty."""
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """row (all columns of docs, as a struct) and score from 0 to 1 of each row's whole text; null counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = docs.select(*keep, F.lit(0.0).alias("score")).schema
+    rows = docs.select(row_of(docs))
+    schema = StructType([rows.schema["row"], StructField("score", DoubleType())])
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [shared.value.score(x) for _, x in features(b.column(len(keep)))]
+            row = b.column(0)
+            parts = [shared.value.score(x) for _, x in features(row.field("text").cast(pa.string()))]
             score = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.clip(score, 0, 1))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([row, pa.array(np.clip(score, 0, 1))], ["row", "score"])
 
-    return kept.mapInArrow(scores, schema)
+    return rows.mapInArrow(scores, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; without any labels each score is 0.5."""
-    out = scored(docs, fit(docs, labels, most), ["doc_id"])
+    """doc_id, held_out, score, predicted of every row.
+
+    A null text is empty, and an empty one is scored like any other; without any labels each score is 0.5. Repeated
+    rows get one score, as equal texts do; of neighbours that are equally near any may vote, the same ones at each
+    rerun. An empty table gives no rows. Long texts are counted whole.
+    """
+    out = scored(docs.select("doc_id", "text"), fit(docs, labels, most)).select(F.col("row.doc_id").alias("doc_id"), "score")
     return out.select("doc_id", (remainder() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
