@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacunar.llm._dist import salt, stored
+from lacunar.llm._dist import salt
 from lacunar.llm._text import slices, word_hashes
+from lacunar.sources.store import stored
 
 HELD_OUT = (7, 2)
 OUTPUTS = 1024

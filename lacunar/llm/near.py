@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from lacunar.llm._dist import components, release, stored
+from lacunar.llm._dist import components, release, row_of, unrolled
 from lacunar.llm._text import mix, shingle_hashes, slices, word_hashes
+from lacunar.sources.store import stored
 
 #: A tile's block holds about so many shingles, so a task's memory is bounded for sets of any size.
 BLOCK_SHINGLES = 1 << 20
@@ -249,18 +250,41 @@ def near_groups(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links (Jaccard similarity of at least share) reach.
 
     A text without words, or null, has no shingles and is linked with nothing; fewer than k words are one
-    shingle. Rows with one doc_id are variants of one document. Documents without doc_id are left out.
+    shingle. Rows with one doc_id are variants of one document, and each gets its own links' component. Documents
+    without doc_id are left out. An empty table gives no rows; long texts are taken whole.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    return near_rows(docs, k, share).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
+    """docs without near copies: of the texts that links join, one of the smallest doc_id stays, in one row.
+
+    Where that doc_id has several of these texts, the one with the least hash stays, and of rows alike in doc_id and
+    text the one with the least hash over all columns. Texts of one doc_id that no links join both stay. A text
+    without words is joined with equal ones of its doc_id only. Rows without doc_id stay as they are.
+    """
+    rows = near_rows(docs, k, share).where("doc_id = component_id")
+    kept = rows.groupBy(F.col("n_shingles") > 0, "label").agg(F.min(F.struct("doc_id", "key")).alias("least")).select(F.col("least.doc_id").alias("kept_id"), F.col("least.key").alias("kept_key"))
+    text = F.col("text").cast("string")
+    whole = docs.where("doc_id is not null").select(row_of(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"))
+    met = whole.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
+    one = met.groupBy("id", "key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return one.select(*unrolled(docs.columns)).unionByName(docs.where("doc_id is null"))
+
+
+def near_rows(docs: DataFrame, k: int, share: float) -> DataFrame:
+    """doc_id, key (hash of the text), n_shingles, component_id, label (the same for texts that links join) of each row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     bands = Bands(share)
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, h, rows, sizes in sets_of(b.column(1), k):
                 n = len(sizes)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), pa.array(sizes), pa.array(class_keys(h, rows, n))], ["doc_id", "n", "node"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(2).slice(i, n), pa.array(sizes), pa.array(class_keys(h, rows, n))], ["doc_id", "key", "n", "node"])
 
-    sets = stored(docs.mapInArrow(classed, "doc_id long, n long, node long"), "sets")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    sets = stored(keyed.mapInArrow(classed, "doc_id long, key long, n long, node long"), "sets")
     classes = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
     parts = 1 + int(bands.most_signatures(total["n"], total["rows"])) // PART_SIGNATURES
@@ -293,6 +317,7 @@ def near_groups(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
     below = tiles.select("grp", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_below"))
     above = tiles.select("grp", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_above"))
     tiles = tiles.join(below, ["grp", "band"], "left").join(above, ["grp", "band"], "left").na.fill(0, ["blocks_below", "blocks_above"])
+    tiles = stored(tiles, "tiles")  # the join's both sides are dealt alike then, and Spark may split a large group
     dealt = members.join(tiles, ["grp", "band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     tile = lambda band, i, up, j, left, right: F.struct(band.alias("band"), i.alias("i"), up.alias("up"), j.alias("j"), left.alias("left"), right.alias("right"))
@@ -333,6 +358,7 @@ def near_groups(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
     links = full.groupBy("grp", "band", "i", "up", "j").applyInArrow(joined, "a long, b long")
     ends = components(stored(links, "links")).withColumnRenamed("component", "label")
     lowest = ends.join(classes, "node").groupBy("label").agg(F.min("rep").alias("low"))
-    of_class = classes.join(ends, "node", "left").join(lowest, "label", "left").select("node", F.coalesce("low", "rep").alias("component_id"))
+    of_class = classes.join(ends, "node", "left").join(lowest, "label", "left").select("node", F.coalesce("low", "rep").alias("component_id"), F.coalesce("label", "node").alias("label"))
     out = sets.join(of_class, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    some = F.col("n") > 0
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("label")).otherwise(F.xxhash64("doc_id", "key")).alias("label"))
