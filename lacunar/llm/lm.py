@@ -1,13 +1,16 @@
 """Document log-likelihood by a gated recurrent language model in numpy.
 
-Counts of every training token come from the whole training corpus. The OUTPUTS most frequent tokens
-are the network's output vocabulary, with one more entry for all other tokens, whose probability is
-then shared by smoothed counts, so that each text has a proper probability. The softmax is factored:
-first a class of tokens, then the token within it. Training is truncated backpropagation through
-windows of WINDOW tokens with the state carried on; each of a number of replicas that grows with the
-input trains on its own documents, and the replicas' weights are averaged each round. The rounds and
-replicas share out all training documents, each of which is learnt from once. In scoring the state is carried across windows to the end
-of each document.
+Counts of every training token come from the whole training corpus. The network has an output for the
+end, for each of the most frequent words, and for each spelling: all other words are dealt to
+spellings by their last two bytes, and within a spelling smoothed counts share out its probability. So
+each word, seen in training or not, has a proper probability that depends on what is before it. The
+number of outputs grows as the square root of the number of distinct words. The softmax is factored: first
+a class of outputs, then the output within it, with as many classes as a class has outputs.
+
+Training is truncated backpropagation through windows of WINDOW tokens with the state carried on; each
+of a number of replicas that grows with the input trains on its own documents, and the replicas'
+weights are averaged each round. The rounds and replicas share out all training documents, each of which
+is learnt from once. In scoring the state is carried across windows to the end of each document.
 """
 
 from __future__ import annotations
@@ -21,57 +24,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacunar.llm._dist import salt
-from lacunar.llm._text import slices, word_hashes
+from lacunar.llm._text import lowered, mix, slices, span_hashes, words
 from lacunar.sources.store import stored
 
 HELD_OUT = (7, 2)
-OUTPUTS = 1024
-CLASS_SIZE = 32
-HIDDEN = 24
+#: The classes are OUTPUT_GROWTH times the fourth root of the number of distinct words, rounded up to a multiple of 8.
+OUTPUT_GROWTH = 1.25
+#: One output in so many stands for a spelling.
+SPELLING_SHARE = 4
+HIDDEN = 16
 WINDOW = 16
-LANES = 32
+LANES = 128
+LEAST_WINDOWS = 32
 ROUNDS = 2
-REPLICA_TOKENS = 250_000
-RATE = 0.006
+REPLICA_TOKENS = 1_000_000
+RATE = 0.01
 #: Counts of at most so many tokens, the most frequent ones, are broadcast; the others' are joined.
 BROADCAST_COUNTS = 1 << 18
 SCORE_WINDOW = 32
-END, OTHER = 0, 1
+SCORE_BLOCK = 1 << 16
+#: Weights are summed over replicas in parts of so many.
+WEIGHTS_A_PART = 1 << 12
+END = 0
 #: Stands for the end token among word hashes.
 END_HASH = -(1 << 63) + 12345
 
 
-def shapes(outputs: int, hidden: int) -> dict[str, tuple[int, ...]]:
-    classes = outputs // CLASS_SIZE
-    return {"E": (outputs, hidden), "W": (hidden, 3 * hidden), "b": (3 * hidden,), "U": (hidden, 3 * hidden), "C": (hidden, classes), "c": (classes,), "O": (outputs, hidden), "o": (outputs,)}
+def shapes(classes: int, hidden: int) -> dict[str, tuple[int, ...]]:
+    k, n = classes, hidden
+    return {"E": (k * k, n), "W": (n, 3 * n), "b": (3 * n,), "U": (n, 3 * n), "C": (n, k), "c": (k,), "O": (k, k, n), "o": (k, k)}
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in p]).astype(np.float64)
+    return np.concatenate([a.ravel() for a in p.values()])
 
 
-def unflat(x: np.ndarray, outputs: int, hidden: int) -> dict[str, np.ndarray]:
+def unflat(x: np.ndarray, classes: int, hidden: int) -> dict[str, np.ndarray]:
+    """Views of x."""
     out, at = {}, 0
-    for k, s in shapes(outputs, hidden).items():
+    for name, s in shapes(classes, hidden).items():
         n = int(np.prod(s))
-        out[k] = x[at : at + n].reshape(s).astype(np.float32)
+        out[name] = x[at : at + n].reshape(s)
         at += n
     return out
 
 
 def initial(mass: np.ndarray, hidden: int = HIDDEN, seed: int = 5) -> dict[str, np.ndarray]:
-    """Small random weights; biases that give the outputs' probabilities `mass`."""
+    """Small random weights; biases that give the outputs' probabilities `mass`, a square number of them."""
+    k = int(round(len(mass) ** 0.5))
     rng = np.random.default_rng(seed)
-    p = {k: rng.normal(0, 0.15 if k in "EWU" else 0.05, s).astype(np.float32) for k, s in shapes(len(mass), hidden).items()}
-    q = np.log(np.maximum(mass, 1e-12))
+    p = {name: rng.normal(0, 0.15 if name in "EWU" else 0.05, s).astype(np.float32) for name, s in shapes(k, hidden).items()}
+    q = np.maximum(mass, 1e-12).reshape(k, k)
     p["b"][:] = 0
-    p["o"] = q.astype(np.float32)
-    p["c"] = np.log(np.maximum(mass.reshape(-1, CLASS_SIZE).sum(1), 1e-12)).astype(np.float32)
+    p["c"] = np.log(q.sum(1)).astype(np.float32)
+    p["o"] = (np.log(q) - np.log(q.sum(1, keepdims=True))).astype(np.float32)
     return p
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def step(x: np.ndarray, h: np.ndarray, u: np.ndarray):
@@ -84,125 +100,179 @@ def step(x: np.ndarray, h: np.ndarray, u: np.ndarray):
     return cand + z * (h - cand), z, r, cand, a[:, 2 * n :]
 
 
-def in_classes(p: dict[str, np.ndarray], hs: np.ndarray, cls: np.ndarray):
-    """The states in order of the class that follows, that order, each class with its slice, and the exponents of its tokens' scores."""
-    by = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[by], np.arange(len(p["c"]) + 1))
-    parts = [(slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE), slice(cuts[c], cuts[c + 1])) for c in np.flatnonzero(np.diff(cuts)).tolist()]
-    hs = hs[by]
-    s = np.empty((len(by), CLASS_SIZE), np.result_type(hs, p["O"]))
-    for rows, i in parts:
-        np.matmul(hs[i], p["O"][rows].T, out=s[i])
-    s += p["o"].reshape(-1, CLASS_SIZE)[cls[by]]
+def exponents(s: np.ndarray) -> np.ndarray:
+    """exp of each row's scores less their largest, in place; the row sums."""
     s -= s.max(1, keepdims=True)
-    return hs, by, parts, s
+    np.exp(s, out=s)
+    return s.sum(1)
+
+
+def by_class(y: np.ndarray, classes: int):
+    """Order by class; of the ordered tokens: class, place in it; and each class that occurs with its slice."""
+    cls = y // classes
+    by = np.argsort(cls, kind="stable")
+    cls = cls[by]
+    cuts = np.searchsorted(cls, np.arange(classes + 1))
+    parts = [(c, slice(cuts[c], cuts[c + 1])) for c in np.flatnonzero(np.diff(cuts)).tolist()]
+    return by, cls, y[by] - cls * classes, parts
+
+
+def inside(p: dict[str, np.ndarray], h: np.ndarray, cls: np.ndarray, parts: list) -> np.ndarray:
+    """Scores of the outputs of each token's class, tokens being in order of class."""
+    s = np.empty((len(h), len(p["c"])), h.dtype)
+    for c, i in parts:
+        np.matmul(h[i], p["O"][c].T, out=s[i])
+    s += p["o"][cls]
+    return s
 
 
 def log_probabilities(p: dict[str, np.ndarray], hs: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of each token y after the state hs."""
-    cls = y // CLASS_SIZE
-    top = hs @ p["C"] + p["c"]
-    top -= top.max(1, keepdims=True)
-    out = top[np.arange(len(y)), cls] - np.log(np.exp(top).sum(1))
-    _, by, _, s = in_classes(p, hs, cls)
-    out[by] += s[np.arange(len(y)), y[by] % CLASS_SIZE] - np.log(np.exp(s).sum(1))
+    by, cls, place, parts = by_class(y, len(p["c"]))
+    h, at = hs[by], np.arange(len(y))
+    top = h @ p["C"]
+    top += p["c"]
+    total = exponents(top)
+    found = top[at, cls] / total
+    s = inside(p, h, cls, parts)
+    total = exponents(s)
+    out = np.empty(len(y))
+    out[by] = np.log(np.maximum(found, 1e-37)) + np.log(np.maximum(s[at, place] / total, 1e-37))
     return out
 
 
 def loss_and_gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h: np.ndarray):
     """Mean loss, gradient and last state over a window; x, y: (steps, lanes) token ids. State restarts after an end."""
     steps, lanes = x.shape
-    n = h.shape[1]
-    e = p["E"][x]
-    gates = e @ p["W"] + p["b"]
-    kept, hs = [], np.empty((steps, lanes, n), np.float32)
+    n, k, kind = h.shape[1], len(p["c"]), h.dtype
+    total = steps * lanes
+    ids = x.ravel()
+    e = p["E"][ids]
+    gates = (e @ p["W"] + p["b"]).reshape(steps, lanes, 3 * n)
+    live = (x != END).astype(kind)[:, :, None]
+    kept, hs = [], np.empty((steps, lanes, n), kind)
     for t in range(steps):
-        prev = h * (x[t] != END)[:, None]
+        prev = h * live[t]
         h, z, r, cand, an = step(gates[t], prev, p["U"])
         kept.append((prev, z, r, cand, an))
         hs[t] = h
-    flat_h, flat_y = hs.reshape(-1, n), y.ravel()
-    total = len(flat_y)
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    cls = flat_y // CLASS_SIZE
-    top = flat_h @ p["C"] + p["c"]
-    top = np.exp(top - top.max(1, keepdims=True))
-    top /= top.sum(1, keepdims=True)
-    loss = -np.log(np.maximum(top[np.arange(total), cls], 1e-30)).sum()
-    top[np.arange(total), cls] -= 1
-    top /= total
-    g["C"], g["c"] = flat_h.T @ top, top.sum(0)
-    dh = top @ p["C"].T
-    states, by, parts, s = in_classes(p, flat_h, cls)
-    s = np.exp(s)
-    s /= s.sum(1, keepdims=True)
-    local = flat_y[by] % CLASS_SIZE
-    loss -= np.log(np.maximum(s[np.arange(total), local], 1e-30)).sum()
-    s[np.arange(total), local] -= 1
-    s /= total
-    back = np.empty((total, n), s.dtype)
-    for rows, i in parts:
-        g["O"][rows], g["o"][rows] = s[i].T @ states[i], s[i].sum(0)
-        np.matmul(s[i], p["O"][rows], out=back[i])
-    dh[by] += back
+    by, cls, place, parts = by_class(y.ravel(), k)
+    states, at = hs.reshape(total, n)[by], np.arange(total)
+
+    def of(s: np.ndarray, target: np.ndarray) -> float:
+        """The loss of scores s, which become its gradient."""
+        sums = exponents(s)
+        lost = float(np.log(sums).sum() - np.log(np.maximum(s[at, target], 1e-37)).sum())
+        s *= (1 / (sums * total))[:, None].astype(kind)
+        s[at, target] -= kind.type(1 / total)
+        return lost
+
+    g: dict[str, np.ndarray] = {}
+    top = states @ p["C"] + p["c"]
+    loss = of(top, cls)
+    g["C"], g["c"] = states.T @ top, top.sum(0)
+    back = top @ p["C"].T
+    s = inside(p, states, cls, parts)
+    loss += of(s, place)
+    g["O"], g["o"] = np.zeros_like(p["O"]), np.zeros_like(p["o"])
+    for c, i in parts:
+        g["O"][c], g["o"][c] = s[i].T @ states[i], s[i].sum(0)
+        back[i] += s[i] @ p["O"][c]
+    dh = np.empty_like(back)
+    dh[by] = back
     dh = dh.reshape(steps, lanes, n)
-    carry = np.zeros((lanes, n), np.float32)
-    d_gates = np.empty_like(gates)
+    carry, u = np.zeros((lanes, n), kind), np.ascontiguousarray(p["U"].T)
+    d_gates, d_a = np.empty((steps, lanes, 3 * n), kind), np.empty((steps, lanes, 3 * n), kind)
     for t in range(steps - 1, -1, -1):
         prev, z, r, cand, an = kept[t]
         d = dh[t] + carry
-        d_cand = d * (1 - z) * (1 - cand * cand)
-        d_z = d * (prev - cand) * z * (1 - z)
-        d_r = d_cand * an * r * (1 - r)
-        d_a = np.concatenate([d_z, d_r, d_cand * r], 1)
-        g["U"] += prev.T @ d_a
-        d_gates[t] = np.concatenate([d_z, d_r, d_cand], 1)
-        carry = (d * z + d_a @ p["U"].T) * (x[t] != END)[:, None]
-    dg = d_gates.reshape(-1, 3 * n)
-    g["W"], g["b"] = e.reshape(-1, e.shape[2]).T @ dg, dg.sum(0)
-    np.add.at(g["E"], x.ravel(), dg @ p["W"].T)
-    return loss / total, g, h
-
-
-def train(p: dict[str, np.ndarray], stream: np.ndarray, lanes: int = LANES, window: int = WINDOW, rate: float = RATE) -> dict[str, np.ndarray]:
-    """One pass of truncated backpropagation over a token stream in which each document ends with END."""
-    lanes = max(1, min(lanes, len(stream) // window))
+        dc = d * (1 - z) * (1 - cand * cand)
+        dg, da = d_gates[t], d_a[t]
+        dg[:, :n] = d * (prev - cand) * z * (1 - z)
+        dg[:, n : 2 * n] = dc * an * r * (1 - r)
+        dg[:, 2 * n :] = dc
+        da[:, : 2 * n] = dg[:, : 2 * n]
+        np.multiply(dc, r, out=da[:, 2 * n :])
+        carry = (d * z + da @ u) * live[t]
+    d_gates = d_gates.reshape(total, 3 * n)
+    g["U"] = np.concatenate([q[0] for q in kept]).T @ d_a.reshape(total, 3 * n)
+    g["W"], g["b"] = e.T @ d_gates, d_gates.sum(0)
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    g["E"] = np.zeros_like(p["E"])
+    g["E"][ids[first]] = np.add.reduceat((d_gates @ p["W"].T)[order], first, axis=0)
+    return loss / total, {name: g[name] for name in p}, h
+
+
+def train(p: dict[str, np.ndarray], stream: np.ndarray, lanes: int = LANES, window: int = WINDOW, rate: float = RATE, least_windows: int = LEAST_WINDOWS) -> dict[str, np.ndarray]:
+    """One pass of truncated backpropagation over a token stream in which each document ends with END.
+
+    The stream is cut into lanes that run side by side, of at least so many windows each.
+    """
+    lanes = max(1, min(lanes, len(stream) // window // least_windows))
     length = len(stream) // lanes
     if length < 1:
         return p
     before, dealt = np.append(END, stream[:-1]), lanes * length
-    x, y = (a[:dealt].reshape(lanes, length).T for a in (before, stream))
+    x, y = (a[:dealt].reshape(lanes, length).T.copy() for a in (before, stream))
     parts = [(x[a : a + window], y[a : a + window]) for a in range(0, length, window)]
     if dealt < len(stream):  # what the lanes leave over goes on from the last lane
         parts.append((before[dealt:, None], stream[dealt:, None]))
-    h = np.zeros((lanes, p["U"].shape[0]), np.float32)
-    w = np.concatenate([k.ravel() for k in p.values()])
-    m, v, p, at = np.zeros_like(w), np.zeros_like(w), dict(p), 0
-    for k, a in p.items():
-        p[k] = w[at : at + a.size].reshape(a.shape)
-        at += a.size
+    classes, hidden = len(p["c"]), p["U"].shape[0]
+    h, w = np.zeros((lanes, hidden), np.float32), flat(p).astype(np.float32)
+    m, v, p = np.zeros_like(w), np.zeros_like(w), unflat(w, classes, hidden)
     for i, (x, y) in enumerate(parts, 1):
         _, g, h = loss_and_gradient(p, x, y, h[-x.shape[1] :])
-        g = np.concatenate([k.ravel() for k in g.values()])
-        g *= np.float32(min(1.0, 1.0 / max(float(np.linalg.norm(g)), 1e-9)))
+        g = flat(g)
+        if (size := float(np.sqrt(g @ g))) > 1:
+            g *= np.float32(1 / size)
         m += np.float32(0.1) * (g - m)
-        v += np.float32(0.005) * (g * g - v)
-        w -= np.float32(rate / (1 - 0.9**i)) * m / (np.sqrt(v / np.float32(1 - 0.995**i)) + np.float32(1e-6))
+        g *= g
+        g -= v
+        g *= np.float32(0.005)
+        v += g
+        np.sqrt(v, out=g)
+        g *= np.float32(1 / np.sqrt(1 - 0.995**i))
+        g += np.float32(1e-6)
+        np.divide(m, g, out=g)
+        g *= np.float32(rate / (1 - 0.9**i))
+        w -= g
     return p
 
 
+def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, number of rows, and of their words: hashes, rows, last two bytes as a code) for runs of rows."""
+    for i, data, at in slices(texts, 1 << 22):
+        starts, ends, rows = words(data, at)
+        low = lowered(data)
+        last = low[ends - 1].astype(np.int32)
+        before = np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)].astype(np.int32), 256)
+        yield i, len(at) - 1, span_hashes(low, starts, ends).view(np.int64), rows, last * 257 + before
+
+
+def spelling(code: np.ndarray, spellings: int) -> np.ndarray:
+    return (mix(code.astype(np.uint64)) % np.uint64(spellings)).astype(np.int64)
+
+
 @dataclass
 class Vocabulary:
-    """The broadcast part of the counts, of bounded size: hashes in order, counts, output ids (OTHER: none of its own)."""
+    """What all tasks need of the counts, of bounded size: hashes in order, log10(count + 1), output ids (-1: that of its spelling)."""
 
     hashes: np.ndarray
-    counts: np.ndarray
+    logs: np.ndarray
     outputs: np.ndarray
+    #: Output id of each spelling, and log10 of what its words share: their tokens and distinct words, and one for unseen ones.
+    spelling_outputs: np.ndarray
+    spelling_logs: np.ndarray
+    mass: np.ndarray
     tokens: int  # N
     distinct: int  # V
-    other_tokens: int
-    other_distinct: int
-    mass: np.ndarray
+    ends: int
+
+    @property
+    def classes(self) -> int:
+        return int(round(len(self.mass) ** 0.5))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position of each hash, and whether it is there."""
@@ -217,178 +287,209 @@ def in_training(of: int = HELD_OUT[0], held: int = HELD_OUT[1]) -> Column:
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """(h, c): how often each token is in the texts, ends among them; counted per batch before the shuffle."""
+    """(h, code, c): how often each token is in the texts, ends among them; counted per batch before the shuffle."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, cs = [], []
-            for _, data, at in slices(b.column(0), 1 << 22):
-                h, c = np.unique(word_hashes(data, at)[0].view(np.int64), return_counts=True)
-                hs.append(h)
-                cs.append(c)
-            h = np.concatenate([*hs, [END_HASH]]).astype(np.int64)
-            c = np.concatenate([*cs, [b.num_rows]])
-            u, inverse = np.unique(h, return_inverse=True)
+            parts = [(np.array([END_HASH]), np.zeros(1, np.int32), np.array([b.num_rows]))]
+            for _, _, h, _, code in tokens(b.column(0)):
+                u, first, c = np.unique(h, return_index=True, return_counts=True)
+                parts.append((u, code[first], c))
+            h, code, c = (np.concatenate(x) for x in zip(*parts))
+            u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
             total = np.bincount(inverse, weights=c).astype(np.int64)
             for i in range(0, len(u), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(u[i : i + (1 << 17)]), pa.array(total[i : i + (1 << 17)])], ["h", "c"])
+                j = slice(i, i + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array(u[j]), pa.array(code[first[j]].astype(np.int32)), pa.array(total[j])], ["h", "code", "c"])
+
+    return docs.select("text").mapInArrow(counted, "h long, code int, c long").groupBy("h").agg(F.min("code").alias("code"), F.sum("c").alias("c"))
+
+
+def classes_for(distinct: int, growth: float = OUTPUT_GROWTH) -> int:
+    return max(8, 8 * int(np.ceil(growth * max(1, distinct) ** 0.25 / 8)))
+
+
+def vocabulary(counts: DataFrame, most: int = BROADCAST_COUNTS, growth: float = OUTPUT_GROWTH) -> Vocabulary:
+    """From counts of training tokens. The driver gets the `most` most frequent ones and a row for each two last bytes."""
+    seen = counts.where(F.col("h") != END_HASH)
+    by_code = seen.groupBy("code").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toArrow()
+    ends = counts.where(F.col("h") == END_HASH).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    code, code_c, code_v = (by_code.column(i).to_numpy() for i in range(3))
+    distinct = int(code_v.sum()) + (1 if ends else 0)
+    k = classes_for(distinct, growth)
+    spellings = max(1, k * k // SPELLING_SHARE)
+    top = seen.orderBy(F.desc("c"), "h").limit(max(most, k * k)).toArrow()
+    h, c, its_code = (top.column(x).to_numpy() for x in ("h", "c", "code"))
+    own = min(len(h), k * k - 1 - spellings)
+    shared = np.bincount(spelling(code, spellings), weights=code_c, minlength=spellings) - np.bincount(spelling(its_code[:own], spellings), weights=c[:own], minlength=spellings)
+    kinds = np.bincount(spelling(code, spellings), weights=code_v, minlength=spellings) - np.bincount(spelling(its_code[:own], spellings), minlength=spellings)
+    mass = np.concatenate([c[:own], shared])
+    by = np.argsort(-mass, kind="stable")
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(1, len(by) + 1)  # frequent outputs share classes
+    full = np.zeros(k * k)
+    full[END], full[1 : len(by) + 1] = ends, mass[by]
+    full = (full + 0.5) / (full + 0.5).sum()
+    outputs = np.full(len(h), -1, np.int64)
+    outputs[:own] = place[:own]
+    order = np.argsort(h)
+    return Vocabulary(h[order], np.log10(c[order] + 1.0), outputs[order], place[own:], np.log10(shared + kinds + 1.0), full, int(code_c.sum()) + ends, distinct, ends)
+
+
+def prepared(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Every row (doc_id, text) once: doc_id, key, words, known, logs, rest, ids (output ids and an end), rare (hashes that aren't broadcast).
+
+    logs: the sum of the broadcast words' log10(c + 1); rest: what words without outputs of their own add to a score, but
+    for the rare ones' counts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    width = id_type(vocab.classes)
 
-    return docs.select("text").mapInArrow(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
+        for b in batches:
+            for i, n, h, rows, code in tokens(b.column(2)):
+                at, there = vocab.find(h)
+                own = there & (vocab.outputs[at] >= 0) if len(vocab.outputs) else there
+                kind = spelling(code, len(vocab.spelling_logs))
+                logs = np.where(there, vocab.logs[at], 0.0) if len(vocab.logs) else np.zeros(len(h))
+                ids = np.where(own, vocab.outputs[at] if len(vocab.outputs) else 0, vocab.spelling_outputs[kind])
+                each = lambda w: np.bincount(rows, weights=w, minlength=n).astype(float)
+                count, begin = np.bincount(rows, minlength=n), np.arange(n + 1)
+                begin[1:] += np.cumsum(count)
+                stream = np.insert(ids, np.cumsum(count), END).astype(width)
+                rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(each(~there))).astype(np.int32)), pa.array(h[~there]))
+                packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((begin * width().itemsize).astype(np.int32).tobytes()), pa.py_buffer(stream.tobytes())])
+                columns = [pa.array(count), pa.array(each(there).astype(np.int64)), pa.array(each(logs)), pa.array(each(~own * (logs - vocab.spelling_logs[kind]))), packed, rare]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(1).slice(i, n), *columns], ["doc_id", "key", "words", "known", "logs", "rest", "ids", "rare"])
 
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    rows = keyed.mapInArrow(made, "doc_id long, key long, words long, known long, logs double, rest double, ids binary, rare array<long>")
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "tokens")
 
-def vocabulary(counts: DataFrame, outputs: int = OUTPUTS, most: int = BROADCAST_COUNTS) -> Vocabulary:
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("h") != END_HASH).orderBy(F.desc("c"), "h").limit(most).toArrow()
-    h, c = top.column("h").to_numpy(), top.column("c").to_numpy()
-    ends = total[0] - (int(c.sum()) if total[1] <= len(h) + 1 else counts.where(F.col("h") != END_HASH).agg(F.sum("c")).first()[0])
-    ids = np.full(len(h), OTHER, np.int64)
-    n = min(len(h), outputs - 2)
-    ids[:n] = np.arange(2, n + 2)
-    rest_tokens = total[0] - ends - int(c[:n].sum())
-    mass = np.zeros(outputs)
-    mass[END], mass[OTHER], mass[2 : n + 2] = ends, rest_tokens, c[:n]
-    mass = (mass + 0.5) / (mass.sum() + 0.5 * outputs)
-    by = np.argsort(h)
-    return Vocabulary(h[by], c[by], ids[by], total[0], total[1], rest_tokens, total[1] - n - (1 if ends else 0), mass)
 
+def id_type(classes: int):
+    return np.uint16 if classes <= 256 else np.uint32
 
-def token_ids(texts: pa.Array, vocab: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, number of rows, and of their words: hashes, rows, positions in the vocabulary, known there, output ids) for runs of rows."""
-    for i, data, at in slices(texts, 1 << 22):
-        h, rows = word_hashes(data, at)
-        h = h.view(np.int64)
-        where, there = vocab.find(h)
-        ids = np.where(there, vocab.outputs[where] if len(vocab.outputs) else OTHER, OTHER)
-        yield i, len(at) - 1, h, rows, where, there, ids
-
-
-def fit(docs: DataFrame, vocab: Vocabulary, hidden: int = HIDDEN, rounds: int = ROUNDS, replica_tokens: int = REPLICA_TOKENS) -> dict[str, np.ndarray]:
-    """Weights after `rounds` rounds; docs (doc_id, text) are the training documents, each in one round and replica."""
-    outputs = len(vocab.mass)
-    p = initial(vocab.mass, hidden)
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(vocab)
+
+def read_ids(column: pa.ChunkedArray | pa.Array, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' ids one after another, and where each begins."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    width = id_type(classes)
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if column.type == pa.large_binary() else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(width).astype(np.int64), (at - at[0]) // width().itemsize
+
+
+def fit(rows: DataFrame, vocab: Vocabulary, hidden: int = HIDDEN, rounds: int = ROUNDS, replica_tokens: int = REPLICA_TOKENS) -> dict[str, np.ndarray]:
+    """Weights after `rounds` rounds; rows (key, ids) are the training documents, each in one round and replica.
+
+    A replica's weights are summed with others' in two steps, each over about the root of the number of replicas.
+    """
+    classes = vocab.classes
+    x = flat(initial(vocab.mass, hidden))
+    spark = rows.sparkSession
     replicas = max(1, round(vocab.tokens / rounds / replica_tokens))
 
     def trainer(weights):
         def trained(t: pa.Table) -> pa.Table:
-            t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-            parts = []
-            for _, n, _, rows, _, _, ids in token_ids(t.column("text"), known.value):
-                ends = np.searchsorted(rows, np.arange(n), "right")
-                parts.append(np.insert(ids, ends, END))
-            stream = np.concatenate([np.zeros(0, np.int64), *parts])
-            x = flat(train(unflat(weights.value, outputs, hidden), stream)) * len(stream)
-            return pa.table([pa.array(np.append(np.arange(len(x)), -1).astype(np.int32)), pa.array(np.append(x, len(stream)))], ["i", "w"])
+            replica = t.column("replica")[0].as_py()
+            stream, _ = read_ids(t.sort_by("key").column("ids"), classes)
+            got = flat(train(unflat(weights.value, classes, hidden), stream)).astype(np.float64) * len(stream)
+            got = np.append(got, len(stream))
+            parts = [got[i : i + WEIGHTS_A_PART] for i in range(0, len(got), WEIGHTS_A_PART)]
+            return pa.table([pa.array(range(len(parts)), pa.int32()), pa.array([replica] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))], ["part", "replica", "w"])
 
         return trained
 
-    for r in range(rounds):
-        weights = spark.sparkContext.broadcast(flat(p))
-        mine = docs.where(salt(rounds, "text", "doc_id") == r)
-        mine = mine.withColumn("replica", salt(replicas, "doc_id", "text"))
-        rows = mine.groupBy("replica").applyInArrow(trainer(weights), "i int, w double").groupBy("i").agg(F.sum("w").alias("w")).toArrow()
-        if not rows.num_rows:
-            continue
-        i, w = rows.column("i").to_numpy(), rows.column("w").to_numpy()
-        total = w[i == -1][0]
-        if total > 0:
-            x = np.zeros(len(i) - 1)
-            x[i[i >= 0]] = w[i >= 0] / total
-            p = unflat(x, outputs, hidden)
-    return p
-
+    def summed(t: pa.Table) -> pa.Table:
+        w = np.sum([v.values.to_numpy() for v in t.column("w")], axis=0)
+        return pa.table([t.column("part").slice(0, 1), pa.array([w], pa.list_(pa.float64()))], ["part", "w"])
 
-def document_scores(p: dict[str, np.ndarray], rows: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """Natural log probability of each of n documents, ends included; all documents step together."""
+    for r in range(rounds):
+        weights = spark.sparkContext.broadcast(x)
+        mine = rows.where(salt(rounds, "key") == r).select("key", "ids", F.pmod(F.xxhash64("key", F.lit(r)), F.lit(replicas)).alias("replica"))
+        each = mine.groupBy("replica").applyInArrow(trainer(weights), "part int, replica long, w array<double>")
+        some = each.withColumn("some", F.pmod("replica", F.lit(1 + int(replicas**0.5)))).groupBy("part", "some").applyInArrow(summed, "part int, w array<double>")
+        got = some.groupBy("part").applyInArrow(summed, "part int, w array<double>").toArrow().sort_by("part")
+        if got.num_rows:
+            total = np.concatenate([v.values.to_numpy() for v in got.column("w")])
+            if total[-1] > 0:
+                x = (total[:-1] / total[-1]).astype(np.float32)
+    return unflat(x, classes, hidden)
+
+
+def document_scores(p: dict[str, np.ndarray], ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Natural log probability of each document ids[begin[i]:begin[i + 1]], ends included; all documents step together."""
+    n = len(begin) - 1
     out = np.zeros(n)
-    size = np.bincount(rows, minlength=n)
-    begin = np.concatenate([[0], np.cumsum(size)])
+    size = np.diff(begin)
     by = np.argsort(-size, kind="stable")
-    length = size[by] + 1
+    length, start = size[by], begin[:-1][by]
     gates = p["E"] @ p["W"] + p["b"]
-    h = np.zeros((n, p["U"].shape[0]), np.float32)
-    ids = np.append(ids, END)
-    for a in range(0, int(length[0]) if n else 0, SCORE_WINDOW):
-        live = int(np.searchsorted(-length, -a, "left"))  # those longer than a
-        states, targets, owners = [], [], []
-        last = np.full(live, END)
-        if a:
-            last = ids[begin[by[:live]] + a - 1]
-        for t in range(a, min(a + SCORE_WINDOW, int(length[0]))):
-            m = int(np.searchsorted(-length, -t, "left"))
-            if not m:
-                break
-            h[:m] = step(gates[last[:m]], h[:m], p["U"])[0]
-            y = np.where(length[:m] - 1 > t, ids[np.minimum(begin[by[:m]] + t, len(ids) - 1)], END)
-            states.append(h[:m].copy())
-            targets.append(y)
-            owners.append(by[:m])
-            last = y
-        hs, y, who = np.concatenate(states), np.concatenate(targets), np.concatenate(owners)
-        out += np.bincount(who, weights=log_probabilities(p, hs, y), minlength=n)
+    h, last = np.zeros((n, p["U"].shape[0]), gates.dtype), np.full(n, END)
+    states, targets, owners, held = [], [], [], 0
+
+    def settle() -> None:
+        nonlocal held
+        if held:
+            found = log_probabilities(p, np.concatenate(states), np.concatenate(targets))
+            out[:] += np.bincount(np.concatenate(owners), weights=found, minlength=n)
+        states.clear(), targets.clear(), owners.clear()
+        held = 0
+
+    live = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1 if n else 1), "right")  # those that have a token at each step
+    for t, m in enumerate(live.tolist()):
+        h[:m] = step(gates[last[:m]], h[:m], p["U"])[0]
+        y = ids[start[:m] + t]
+        states.append(h[:m].copy())
+        targets.append(y)
+        owners.append(by[:m])
+        last, held = y, held + m
+        if held >= SCORE_BLOCK:
+            settle()
+    settle()
     return out
 
 
-def score_documents(docs: DataFrame, outputs: int = OUTPUTS, hidden: int = HIDDEN) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
+def score_documents(docs: DataFrame, hidden: int = HIDDEN, broadcast_counts: int = BROADCAST_COUNTS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
-    A null or empty text is its end alone. Repeated rows are scored each. Without training documents all
-    counts are 0 and the network keeps its initial weights. log10 is used for both scores.
+    A null or empty text is its end alone. Repeated rows are learnt from and scored each; a null doc_id is learnt
+    from. Without training documents all counts are 0 and the network keeps its initial weights. An empty table gives
+    no rows. Texts of any length are taken whole. log10 is used for both scores.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    training = docs.where(in_training())
-    counts = stored(count_tokens(training), "counts")
-    vocab = vocabulary(counts, outputs)
-    p = fit(training, vocab, hidden)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocab, p))
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    ends = max(0.0, round(float(vocab.mass[END] * (vocab.tokens + 0.5 * outputs) - 0.5)))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    counts = stored(count_tokens(docs.where(in_training())), "counts")
+    vocab = vocabulary(counts, broadcast_counts)
+    rows = prepared(docs, vocab)
+    p = fit(rows.where(in_training()).select("key", "ids"), vocab, hidden)
+    shared = docs.sparkSession.sparkContext.broadcast((p, vocab.classes))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, p = shared.value
-        log_c = np.log10(vocab.counts + 1.0)
+        p, classes = shared.value
         for b in batches:
-            for i, n, h, rows, where, there, ids in token_ids(b.column(2), vocab):
-                count = np.bincount(rows, minlength=n)
-                known = np.bincount(rows, weights=there, minlength=n)
-                logs = np.where(there, log_c[where], 0.0) if len(log_c) else np.zeros(len(h))
-                top = np.bincount(rows, weights=logs, minlength=n)
-                rest = ids == OTHER
-                rest_n = np.bincount(rows, weights=rest, minlength=n)
-                rest_top = np.bincount(rows, weights=logs * rest, minlength=n)
-                net = document_scores(p, rows, ids, n) / np.log(10)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(1).slice(i, n), *(pa.array(x) for x in (count, known.astype(np.int64), top.astype(float), rest_n.astype(np.int64), rest_top.astype(float), net))], ["doc_id", "key", "words", "known", "logs", "rest", "rest_logs", "net"])
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, _ = shared.value
-        for b in batches:
-            for i, _, h, rows, _, there, _ in token_ids(b.column(1), vocab):
-                keys = np.asarray(b.column(0))[i:]
-                h, rows = h[~there], rows[~there]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array(h)], ["key", "h"])
-
-    main = stored(keyed.mapInArrow(scored, "doc_id long, key long, words long, known long, logs double, rest long, rest_logs double, net double"), "scored")
-    if vocab.distinct > len(vocab.hashes) + 1:
-        # rows of one key are one text under one doc_id: their rare words' sums are shared out evenly
-        found = keyed.select("key", "text").mapInArrow(rare, "key long, h long").join(counts, "h")
-        sums = found.groupBy("key").agg(F.count("*").alias("_k"), F.sum(F.log10(F.col("c") + 1.0)).alias("_l"))
-        copies = main.groupBy("key").agg(F.count("*").alias("_m"))
-        sums = sums.join(copies, "key").select("key", (F.col("_k") / F.col("_m")).cast("long").alias("_k"), (F.col("_l") / F.col("_m")).alias("_l"))
-        main = main.join(sums, "key", "left").na.fill(0, ["_k"]).na.fill(0.0, ["_l"])
+            net = document_scores(p, *read_ids(b.column(0), classes)) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(net)], ["row", "doc_id", "words", "known", "logs", "rest", "net"])
+
+    main = rows.select("ids", "row", "doc_id", "words", "known", "logs", "rest").mapInArrow(scored, "row long, doc_id long, words long, known long, logs double, rest double, net double")
+    if vocab.distinct - (1 if vocab.ends else 0) > len(vocab.hashes):
+        main = stored(main, "scored")
+        found = rows.select("row", F.explode("rare").alias("h")).join(counts, "h")
+        sums = found.groupBy("row").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("rare_logs"))
+        main = main.join(sums, "row", "left").na.fill(0, ["rare_known"]).na.fill(0.0, ["rare_logs"])
     else:
-        main = main.withColumn("_k", F.lit(0).cast("long")).withColumn("_l", F.lit(0.0))
+        main = main.withColumn("rare_known", F.lit(0).cast("long")).withColumn("rare_logs", F.lit(0.0))
     n_tokens = F.col("words") + 1
     wide = float(np.log10(vocab.tokens + vocab.distinct + 1.0))
-    rest_wide = float(np.log10(vocab.other_tokens + max(0, vocab.other_distinct) + 1.0))
     return main.select(
         "doc_id",
         (~in_training()).alias("held_out"),
         n_tokens.alias("n_tokens"),
-        (F.col("known") + F.col("_k") + (1 if ends else 0)).alias("n_known"),
+        (F.col("known") + F.col("rare_known") + (1 if vocab.ends else 0)).alias("n_known"),
         F.lit(int(vocab.tokens)).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.col("_l") + F.lit(float(np.log10(ends + 1))) - n_tokens * F.lit(wide)).alias("base_score"),
-        (F.col("net") + F.col("rest_logs") + F.col("_l") - F.col("rest") * F.lit(rest_wide)).alias("score"),
+        (F.col("logs") + F.col("rare_logs") + F.lit(float(np.log10(vocab.ends + 1))) - n_tokens * F.lit(wide)).alias("base_score"),
+        (F.col("net") + F.col("rest") + F.col("rare_logs")).alias("score"),
     )
-

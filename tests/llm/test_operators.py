@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lacunar.llm import fingerprints, lines, lm, mixing, near, packing, quality, queries, suffix, topk, toxicity
@@ -206,56 +207,135 @@ def test_packing(docs, empty):
         assert encoder.encode(t) == np.array(full.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def test_language_model(docs, empty):
-    got = {r["doc_id"]: r for r in lm.score_documents(docs).collect()}
+def plain_step(p, x, h):
+    """One step of the network, written out."""
+    n = len(h)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    g, a = p["E"][x] @ p["W"] + p["b"], h @ p["U"]
+    z, r = sig(g[:n] + a[:n]), sig(g[n : 2 * n] + a[n : 2 * n])
+    return z * h + (1 - z) * np.tanh(g[2 * n :] + r * a[2 * n :])
+
+
+def plain_log_probability(p, ids):
+    """Of one document's outputs, its end last, each step's softmax over all classes and all outputs of the class."""
+    k, h, last, out = len(p["c"]), np.zeros(p["U"].shape[0]), lm.END, 0.0
+    for y in ids:
+        h = plain_step(p, last, h)
+        top, low = h @ p["C"] + p["c"], p["O"][y // k] @ h + p["o"][y // k]
+        out += top[y // k] - np.log(np.exp(top).sum()) + low[y % k] - np.log(np.exp(low).sum())
+        last = y
+    return out
+
+
+@pytest.mark.parametrize("broadcast_counts", [lm.BROADCAST_COUNTS, 5])
+def test_language_model(docs, empty, broadcast_counts, monkeypatch):
+    fitted, made = lm.fit, []
+    monkeypatch.setattr(lm, "OUTPUT_GROWTH", 1.0)
+    monkeypatch.setattr(lm, "fit", lambda rows, vocab, hidden: made.append((vocab, fitted(rows, vocab, hidden))) or made[-1][1])
+    got = {r["doc_id"]: r for r in lm.score_documents(docs, broadcast_counts=broadcast_counts).collect()}
+    vocab, p = made[0]
+    p = {k: v.astype(float) for k, v in p.items()}
     tokens = {i: WORD.findall(t.encode().lower()) + [None] for i, t in source(docs)}
     c = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
     n, v = sum(c.values()), len(c)
+    k, spellings = vocab.classes, vocab.classes**2 // lm.SPELLING_SHARE
+    own = {lm_hash(w): w for w in c if w is not None}
+    own = {own[h] for h in vocab.hashes[vocab.outputs >= 0].tolist()}
+    kind = lambda w: int(lm.spelling(np.array([w[-1] * 257 + (w[-2] if len(w) > 1 else 256)]), spellings)[0])
+    rest = Counter()
+    for w in c:
+        if w is not None and w not in own:
+            rest[kind(w)] += c[w] + 1
+    output = {w: int(vocab.outputs[vocab.hashes == lm_hash(w)][0]) for w in own} | {None: lm.END}
     for i, ws in tokens.items():
         assert got[i]["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws), abs=1e-6)
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), n)
-        assert got[i]["score"] < 0
+        ids = [output[w] if w in output else int(vocab.spelling_outputs[kind(w)]) for w in ws]
+        inside = sum(np.log10((c[w] + 1) / (rest[kind(w)] + 1)) for w in ws if w not in output)
+        assert got[i]["score"] == pytest.approx(plain_log_probability(p, ids) / np.log(10) + inside, rel=1e-5, abs=1e-5)
     assert lm.score_documents(empty).count() == 0
 
 
+def lm_hash(word):
+    return next(lm.tokens(pa.array([word.decode()])))[2][0]
+
+
+def test_language_model_probabilities_sum_to_one(spark):
+    d = spark.createDataFrame([(i, f"w{i % 40} common ta{i % 7}") for i in range(200)], "doc_id long, text string")
+    counts = lm.count_tokens(d)
+    vocab = lm.vocabulary(counts, most=3, growth=1.0)
+    seen = {r["h"]: r for r in counts.collect() if r["h"] != lm.END_HASH}
+    mass = Counter()
+    for h, r in seen.items():
+        at = np.flatnonzero((vocab.hashes == h) & (vocab.outputs >= 0))
+        if not len(at):
+            mass[int(lm.spelling(np.array([r["code"]]), len(vocab.spelling_logs))[0])] += r["c"] + 1
+    assert all(m + 1 == pytest.approx(10 ** vocab.spelling_logs[s]) for s, m in mass.items())
+    assert vocab.mass.sum() == pytest.approx(1) and len(vocab.mass) == vocab.classes**2
+    assert vocab.tokens == sum(r["c"] for r in counts.collect()) and vocab.distinct == len(seen) + 1
+
+
+def test_outputs_grow_with_the_vocabulary():
+    sizes = [lm.classes_for(10**i) for i in range(1, 12)]
+    assert sizes == sorted(sizes) and sizes[-1] > 8 * sizes[3]
+
+
 def test_language_model_gradient_and_carried_state():
     rng = np.random.default_rng(0)
     mass = rng.random(64)
     p = {k: v.astype(np.float64) for k, v in lm.initial(mass / mass.sum(), 6).items()}
-    x, y, h = rng.integers(0, 64, (5, 3)), rng.integers(0, 64, (5, 3)), np.zeros((3, 6))
+    x, y, h = rng.integers(0, 64, (5, 3)), rng.integers(0, 64, (5, 3)), rng.normal(size=(3, 6))
     _, g, _ = lm.loss_and_gradient(p, x, y, h)
     for k in p:
-        i = tuple(int(rng.integers(0, n)) for n in p[k].shape)
-        old, ends = p[k][i], []
-        for e in (1e-5, -1e-5):
-            p[k][i] = old + e
-            ends.append(lm.loss_and_gradient(p, x, y, h)[0])
-        p[k][i] = old
-        assert g[k][i] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-5)
-    ids = rng.integers(2, 64, 75)
-    one = lm.document_scores(p, np.zeros(75, np.int64), ids, 1)[0]
-    xs = np.append(0, ids)[:, None]
-    loss, _, _ = lm.loss_and_gradient(p, xs, np.append(ids, 0)[:, None], np.zeros((1, 6)))
-    assert one == pytest.approx(-loss * 76, rel=1e-5)
+        for _ in range(3):
+            i = tuple(int(rng.integers(0, n)) for n in p[k].shape)
+            i = (int(x.ravel()[0]), *i[1:]) if k == "E" else i
+            old, ends = p[k][i], []
+            for e in (1e-5, -1e-5):
+                p[k][i] = old + e
+                ends.append(lm.loss_and_gradient(p, x, y, h)[0])
+            p[k][i] = old
+            assert g[k][i] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-6)
+    texts = [rng.integers(2, 64, n).tolist() + [lm.END] for n in (75, 0, 3, 200, 75)]
+    got = lm.document_scores(p, np.concatenate(texts), np.cumsum([0] + [len(t) for t in texts]))
+    assert got == pytest.approx([plain_log_probability(p, t) for t in texts])
+    xs = np.append(0, texts[0][:-1])[:, None]
+    loss, _, _ = lm.loss_and_gradient(p, xs, np.array(texts[0])[:, None], np.zeros((1, 6)))
+    assert got[0] == pytest.approx(-loss * 76)
 
 
 def test_language_model_learns_from_every_training_document(spark):
     rows = [(i, f"w{i}a w{i}b w{i}c") for i in range(60)]
     d = spark.createDataFrame(rows, "doc_id long, text string").where(lm.in_training())
-    vocab = lm.vocabulary(lm.count_tokens(d), outputs=256)
-    first, last = lm.initial(vocab.mass), lm.fit(d, vocab, replica_tokens=50)
-    moved = np.abs(last["E"] - first["E"]).max(1) > 1e-5
-    assert (vocab.outputs >= 2).all() and len(vocab.outputs) == 3 * d.count()
-    assert moved[vocab.outputs].all()
+    vocab = lm.vocabulary(lm.count_tokens(d), growth=8.0)
+    first = lm.initial(vocab.mass)
+    for replica_tokens in (50, 1000):
+        last = lm.fit(lm.prepared(d, vocab), vocab, replica_tokens=replica_tokens)
+        moved = np.abs(last["E"] - first["E"]).max(1) > 1e-5
+        assert (vocab.outputs >= 0).all() and len(vocab.outputs) == 3 * d.count()
+        assert moved[vocab.outputs].all()
 
 
 def test_language_model_trains_on_what_the_lanes_leave_over():
     p = lm.initial(np.full(64, 1 / 64), 6)
     stream = np.arange(37) + 2
-    got = lm.train(p, stream, lanes=4, window=8)
+    got = lm.train(p, stream, lanes=4, window=8, least_windows=1)
     assert (np.abs(got["E"] - p["E"]).max(1) > 1e-5)[stream[:-1]].all()
 
 
+def test_language_model_beats_counts(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        w, ws = rng.randrange(30), []
+        for _ in range(60):
+            w = (w * 7 + rng.choice([1, 1, 1, 5])) % 30
+            ws.append(f"word{w}")
+        rows.append((i, " ".join(ws)))
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
+    assert got["s"] > 0.9 * got["b"]
+
+
 def test_classifiers_take_anything(spark, docs, empty, labels):
     for make in (lambda d, x: quality.classify(d, x), lambda d, x: toxicity.grade(d, x)):
         assert make(docs, labels).count() == docs.count()
