@@ -106,7 +106,7 @@ class Model:
         cosines = self._latent(self._weighted(x)) @ self.known.T
         k = min(self.k, len(self.y))
         best = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, best, 1), 1e-6).astype(np.float64) ** 8
+        weight = np.maximum(np.take_along_axis(cosines, best, 1), 1e-6).astype(np.float64)
         return (weight * self.y[best]).sum(1) / weight.sum(1)
 
 
