@@ -161,6 +161,24 @@ def test_top_k(spark):
     assert topk.top_k(made.limit(0), made.limit(0)).count() == 0
 
 
+def test_top_k_of_large_numbers_and_repeated_ids(spark):
+    rows = [(1, [1e10, 1e10]), (2, [1e10, 1e10]), (3, [1e300, 1.0]), (4, [-1e300, 1.0]), (5, [2.0, 3e15]), (6, [0.25, -7.0]), (7, [1e306, 0.0]), (8, [1.0]), (9, [])]
+    made = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [tuple(r) for r in topk.top_k(made, made, 10, 2, 2).orderBy("query_id", "rank").collect()]
+    v = {i: [int(np.floor(x * 1024)) for x in e] for i, e in rows if i != 7 and e}
+    inside = lambda x: max(-(2**63), min(2**63 - 1, x))
+    want = []
+    for q in sorted(v):
+        best = sorted((-inside(sum(a * b for a, b in zip(v[q], v[i]))), i) for i in v if i != q and len(v[i]) == len(v[q]))
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert got == want
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0])]
+    made = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(made, made.where("id = 100"), 2).collect())
+    one = 1024 * 1024
+    assert got == sorted([(1, 1, 2 * one), (2, 1, 2 * one), (1, 2, 3 * one), (2, 1, 0)])
+
+
 def test_mixing(docs, empty):
     got = mixing.mix_documents(docs, block=4).collect()
     sizes = {i: len(WORD.findall(t.encode())) for i, t in source(docs)}
