@@ -189,7 +189,8 @@ def mixed_texts(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
                 rounds = []
                 for r in range(1, max(reads) + 1):
                     spans = [raw[starts[f] : starts[min(f + n, len(starts) - 1)]] for f, n, m in zip(firsts, counts, reads) if m >= r]
-                    rounds.append(b"".join(spans).rstrip())
+                    # of rows alike a text's end may come before another's part
+                    rounds.append(b"".join(x if x[-1:].isspace() else x + b"\n" for x in spans).rstrip())
                 texts.append(b"\n".join(rounds).decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
