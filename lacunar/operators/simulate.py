@@ -17,6 +17,14 @@ class Simulation:
     col_group: DataFrame
     row_group: DataFrame
 
+    def summary(self, n: int = 6) -> str:
+        """Size, share of missing values, numbers of groups, and the first features."""
+        missing, p = self.matrix.vectors.agg(F.sum(F.size(F.filter("vals", lambda v: v.isNull()))), F.count("*")).first()
+        groups = [t.select("grp").distinct().count() for t in (self.col_group, self.row_group)]
+        head = [f"{self.matrix.n} samples, {p} features, {missing / max(1, self.matrix.n * p):.1%} missing", f"{groups[0]} groups of features, {groups[1]} of samples"]
+        rows = self.matrix.vectors.orderBy("col_idx").limit(n).collect()
+        return "\n".join(head + [f"{r['feature']}: {r['vals'][:n]}" for r in rows])
+
 
 def simulate(spark: SparkSession, n: int = 100, p: int = 100, rho: float = 0.5, n_col_groups: int = 2, n_row_groups: int = 1, perc_total_na: float = 0.1, perc_col_na: float = 0.5, beta: bool = True, seed: int = 1) -> Simulation:
     """Compound-symmetric normal columns, scaled to 0..1 if beta; missing cells spread evenly over some of the columns."""

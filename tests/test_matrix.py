@@ -144,7 +144,7 @@ def test_sampling_and_tuning(spark):
     assert per_column(12, 3) == [3, 3, 3, 3] and per_column(13, 3) == [3, 3, 3, 4] and per_column(11, 3) == [3, 4, 4] and per_column(5, 3) == [5]
     sim = simulate(spark, 20, 15, perc_total_na=0.05)
     x = sim.matrix.to_numpy()
-    assert np.isnan(x).sum() == 15
+    assert np.isnan(x).sum() == 15 and sim.summary(2).startswith("20 samples, 15 features, 5.0% missing\n2 groups of features, 1 of samples\nfeature1: [")
     cells = sample_na_loc(sim.matrix, num_na=12, n_rows=3, n_reps=2)
     rows = cells.collect()
     assert len(rows) == 24 and not any(np.isnan(x[r["row_idx"] - 1, r["col_idx"] - 1]) for r in rows)
