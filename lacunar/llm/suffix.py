@@ -4,8 +4,8 @@ A string of LENGTH bytes is anchored at its least hashed K-gram (the leftmost of
 strings have equal anchors at equal places. Each anchor owns a run of string starts, with the bytes
 that these strings span as its context. Contexts alike are one; of a context's occurrences all but
 the earliest are repeats outright. Only anchors with several different contexts need a closer look:
-their contexts meet by anchor, are narrowed to what may be in another one, and a suffix array over
-what is left brings equal strings together.
+their contexts meet by anchor, are narrowed to what may be in another one (alike ones being one
+again), and a suffix array over what is left brings equal strings together.
 
 The suffix array is made by linear grouping: suffixes are grouped by their longest Lyndon prefix so
 far, and groups are taken in descending order; each member's pointer to the previous smaller suffix
@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from lacunar.llm._text import _BASE, _INVERSE, mix, powers, slices
+from lacunar.llm._text import _BASE, _INVERSE, lean, mix, powers, slices
 from lacunar.sources.store import stored
 
 LENGTH = 100
@@ -33,6 +33,10 @@ K = 32
 ARRAY_BYTES = 1 << 19
 #: Anchors in more rows than this are resolved string by string, with sums made before the shuffle.
 HOT_ROWS = 4096
+#: Anchors with more than this share of all rows, as one in GUESS documents tells, have them dealt to SALTS tasks.
+HOT_SHARE, GUESS, SALTS = 1e-4, 16, 64
+#: A longer text's anchors are found in pieces of so many string starts.
+PIECE = 1 << 20
 
 SPANS = "doc_id long, b long, e long"
 
@@ -145,6 +149,16 @@ def narrowed(rows: list[tuple[int, int, int, bytes, int]], length: int = LENGTH)
     return out
 
 
+def firsts_of(contexts: list[tuple[int, int, bytes]]) -> tuple[list, list]:
+    """The earliest of each (document, start, context) alike in context, and the others, which are repeats outright."""
+    first: dict[bytes, tuple[int, int, bytes]] = {}
+    later = []
+    for x in sorted(contexts, key=lambda x: x[:2]):
+        if first.setdefault(x[2], x) is not x:
+            later.append(x)
+    return list(first.values()), [x for x in later if x[:2] != first[x[2]][:2]]
+
+
 def repeated_starts(contexts: list[bytes], at: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
     """(document, start) of each string of the contexts that is also in them at an earlier one; at: where each context begins."""
     text: list[int] = []
@@ -211,13 +225,18 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, k: int = K)
     return h[a], context, row[first], s0, s1, a
 
 
-def _found(batch: pa.RecordBatch, length: int):
+def _found(batch: pa.RecordBatch, length: int, piece: int):
     """Anchor, context, document, first and last start and own place within it, of a batch's anchors, whether the batch has the context earlier, and whether the same row."""
     parts = []
     ids = np.asarray(batch.column(0))
-    for i, data, at in slices(batch.column(1)):
-        kh, ch, row, s0, s1, own = anchors(data, at, length)
-        parts.append((kh.view(np.int64), ch.view(np.int64), ids[i + row], s0 - at[row], s1 - at[row], own - at[row]))
+    for i, data, at in slices(batch.column(1), piece):
+        if len(at) > 2 or len(data) < piece + length:
+            pieces = [(0, data, at)]
+        else:  # a run of strings that is cut in two makes two contexts of one anchor, which meet like others
+            pieces = [(c, d := data[c : c + piece + length - 1], np.array([0, len(d)])) for c in range(0, len(data) - length + 1, piece)]
+        for c, data, at in pieces:
+            kh, ch, row, s0, s1, own = anchors(data, at, length)
+            parts.append((kh.view(np.int64), ch.view(np.int64), ids[i + row], c + s0 - at[row], c + s1 - at[row], c + own - at[row]))
     kh, ch, doc, s0, s1, own = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 6
     by = np.lexsort((s0, doc, ch, kh))
     kh, ch, doc, s0, s1, own = (c[by] for c in (kh, ch, doc, s0, s1, own))
@@ -254,31 +273,47 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def table(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
+    piece = PIECE
+
+    @lean
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kh, ch, doc, s0, s1, own, again, twin = _found(b, length)
+        for batch in batches:
+            kh, ch, doc, s0, s1, own, again, twin = _found(batch, length, piece)
             keep = np.flatnonzero(~again & ~twin)
             for i in range(0, len(keep), 1 << 17):
                 j = keep[i : i + (1 << 17)]
                 yield table([kh[j], ch[j], doc[j], s0[j] << 16 | (s1 - s0)[j] << 8 | (own - s0)[j]], ["kh", "ch", "doc_id", "at"])
 
+    @lean
     def again_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            _, _, doc, s0, s1, _, again, _ = _found(b, length)
+        for batch in batches:
+            _, _, doc, s0, s1, _, again, _ = _found(batch, length, piece)
             yield table(list(united(doc[again], s0[again], s1[again] + length)), ["doc_id", "b", "e"])
 
-    rows = docs.mapInArrow(firsts, "kh long, ch long, doc_id long, at long")
-    anchor = Window.partitionBy("kh")
-    occurrence = Window.partitionBy("kh", "ch").orderBy("doc_id", "at")
-    hits = rows.withColumn("r", F.rank().over(occurrence)).withColumn("n", F.count("*").over(anchor)).withColumn("several", F.min("ch").over(anchor) != F.max("ch").over(anchor))
-    hits = hits.where("n > 1 and (r > 1 or several)")
+    anchored = lambda x: x.mapInArrow(firsts, "kh long, ch long, doc_id long, at long")
+    # Which anchors are hottest is guessed from one in GUESS documents. Their rows are dealt out by context too; a guess
+    # changes only where rows meet, not the result.
+    seen = Observation()
+    some = anchored(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(GUESS)) == 0)).groupBy("kh").count().observe(seen, F.sum("count").alias("rows"))
+    often = some.where(F.col("count") > HOT_ROWS / GUESS).orderBy(F.desc("count"), "kh").limit(int(1 / HOT_SHARE)).collect()
+    hottest = [(r["kh"], True) for r in often if r["count"] > HOT_SHARE * seen.get["rows"]]
+    rows = anchored(docs)
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(hottest, "kh long, hot boolean")), "kh", "left") if hottest else rows.withColumn("hot", F.lit(None).cast("boolean"))
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod("ch", F.lit(SALTS))).otherwise(0))
+    anchor = Window.partitionBy("kh", "salt")
+    occurrence = Window.partitionBy("kh", "salt", "ch").orderBy("doc_id", "at")
+    hits = rows.withColumn("r", F.rank().over(occurrence)).withColumn("n", F.count("*").over(anchor))
+    # where an anchor's rows are apart, a closer look is taken at any of its contexts
+    hits = hits.withColumn("several", F.coalesce("hot", F.min("ch").over(anchor) != F.max("ch").over(anchor)))
+    hits = hits.where("(n > 1 or hot) and (r > 1 or several)")
     start = F.shiftright("at", 16)
     last, own = start + F.shiftright("at", 8).bitwiseAND(F.lit(255)), F.col("at").bitwiseAND(F.lit(255))
-    hits = stored(hits.select("kh", "doc_id", start.alias("s0"), last.alias("s1"), own.alias("a"), (F.col("r") > 1).alias("again"), (F.col("n") > HOT_ROWS).alias("hot")), "hits")
+    hits = stored(hits.select("kh", "doc_id", start.alias("s0"), last.alias("s1"), own.alias("a"), (F.col("r") > 1).alias("again"), F.coalesce("hot", F.col("n") > HOT_ROWS).alias("hot")), "hits")
     known = hits.where("again").select("doc_id", F.col("s0").alias("b"), (F.col("s1") + length).alias("e"))
 
     wanted = hits.where("not again").groupBy("doc_id").agg(F.collect_list(F.struct("kh", "s0", "s1", "a", "hot")).alias("w")).select(F.col("doc_id").alias("_id"), "w")
 
+    @lean
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
@@ -292,15 +327,16 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     met = docs.dropDuplicates(["doc_id"]).join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "w")
     close = stored(met.mapInArrow(contexts, "kh long, doc_id long, s0 long, context binary, a long, hot boolean"), "contexts")
 
+    @lean
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes, int]] = []
         size = 0
 
         def answer() -> pa.RecordBatch:
-            left = narrowed(held, length)
-            found = repeated_starts([x[2] for x in left], [x[:2] for x in left], length)
-            doc, b = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
-            return table(list(united(doc, b, b + length)), ["doc_id", "b", "e"])
+            left, later = firsts_of(narrowed(held, length))
+            starts = repeated_starts([x[2] for x in left], [x[:2] for x in left], length)
+            spans = np.array([(doc, b, b + length) for doc, b in starts] + [(doc, b, b + len(x)) for doc, b, x in later], np.int64).reshape(-1, 3)
+            return table(list(united(*spans.T)), ["doc_id", "b", "e"])
 
         for batch in batches:
             for x in zip(*(c.to_pylist() for c in batch.columns)):
@@ -315,6 +351,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cold = close.where("not hot").select("kh", "doc_id", "s0", "context", "a").repartition("kh").sortWithinPartitions("kh", "doc_id", "s0")
     closer = cold.mapInArrow(arrays, SPANS)
 
+    @lean
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1 << 10):
@@ -334,6 +371,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     met = whole.join(spans, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "s")
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, spans, kept = [], [], []

@@ -131,9 +131,10 @@ def test_suffix_array():
         assert suffix.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_repeated_bytes(docs, empty, monkeypatch, hot):
+@pytest.mark.parametrize("hot,piece", [(4096, 1 << 20), (1, 700)])
+def test_repeated_bytes(docs, empty, monkeypatch, hot, piece):
     monkeypatch.setattr(suffix, "HOT_ROWS", hot)
+    monkeypatch.setattr(suffix, "PIECE", piece)
     got = {r["doc_id"]: r for r in suffix.without_repeats(docs).collect()}
     seen = set()
     for i, t in source(docs):
