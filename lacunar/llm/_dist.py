@@ -36,9 +36,9 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def salt(n: int, *columns: str) -> Column:
+def salt(n: int | Column, *columns: str) -> Column:
     """A number from 0 to n - 1 that depends on the columns alone, the same at each rerun."""
-    return F.pmod(F.xxhash64(*columns), F.lit(max(1, n)))
+    return F.pmod(F.xxhash64(*columns), F.lit(max(1, n)) if isinstance(n, int) else n)
 
 
 def running_total(df: DataFrame, keys: list[str], chunk: str, order: list[str], value: Column, name: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacunar.llm._dist import chunks_of, running_total, salt
+from lacunar.llm._text import lean
 from lacunar.sources.store import stored
 
 CAPACITY = 1024
@@ -137,6 +138,7 @@ def crc32(ids: bytes) -> int:
 def tokenized(docs: DataFrame, json_file: str, ranks_file: str, capacity: int = CAPACITY, end_id: int = END_ID, payload: Callable[[bytes], object] | None = None, kind: str = "binary") -> DataFrame:
     """Pieces (doc_id, piece, start, length, payload); payload is the piece's ids, or what `payload` makes of them."""
 
+    @lean
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(json_file, ranks_file)
         end = np.array([end_id], dtype="<u4").tobytes()
@@ -169,7 +171,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counted = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     histogram = {r["length"]: r["count"] for r in counted}
     places = spark.createDataFrame(plan(histogram, capacity), "_l long, _lo long, _hi long, _seq long, _n long, _off long")
-    chunks = chunks_of(sum(histogram.values()))
+    chunks = F.element_at(F.lit([chunks_of(histogram.get(n, 0)) for n in range(1, capacity + 1)]), F.col("length").cast("int"))
     ranked = running_total(pieces.withColumn("_c", salt(chunks, "doc_id", "piece")), ["length"], "_c", ["doc_id", "piece"], F.lit(1), "_r")
     # the plan's rows are bounded by the capacity, not by the data
     met = ranked.join(F.broadcast(places), (F.col("length") == F.col("_l")) & (F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_hi")))
