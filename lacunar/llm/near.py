@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from lacunar.llm._dist import components, release, row_of, unrolled
-from lacunar.llm._text import mix, shingle_hashes, slices, word_hashes
+from lacunar.llm._text import lean, mix, shingle_hashes, slices, word_hashes
 from lacunar.sources.store import stored
 
 #: A tile's block holds about so many shingles, so a task's memory is bounded for sets of any size.
@@ -29,6 +29,8 @@ BLOCK_SHINGLES = 1 << 20
 BLOCK_CLASSES = 2048
 #: Signatures are dealt to parts of about so many, each sorted in memory at once.
 PART_SIGNATURES = 1 << 21
+#: A task holds about so many before it sends them on.
+HELD_SIGNATURES = 1 << 19
 
 
 def sets_of(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -77,14 +79,13 @@ class Bands:
         """Of each band: how many groups at most two similar sets can spoil whose smaller is in the band, and how many groups to make.
 
         A group of one part is spoilt by a shingle that only one of the sets has; a group of three parts by
-        two such shingles, as each of its signatures leaves one part out. More groups are made than can be
-        spoilt, so that few sets have as many weak ones, that is with signatures of at most `weak` shingles,
-        which say little.
+        two such shingles, as each of its signatures leaves one part out. A few more groups are made than can be
+        spoilt, so that sets can leave out their weakest ones.
         """
         largest = self.edges[band + 1] - 1
         d = np.floor(largest * (1 - self.share) / self.share + 1e-9).astype(np.int64)
         spoilt = d if self.split == 1 else d // 2
-        return spoilt, np.where(d > 0, spoilt + 3 + -(-spoilt // 10), 0)
+        return spoilt, np.where(d > 0, spoilt + 2 + -(-spoilt // 10), 0)
 
     @property
     def split(self) -> int:
@@ -96,16 +97,14 @@ class Bands:
         spoilt = shingles * self.ratio * (1 - self.share) / self.share / (1 if self.split == 1 else 2)
         return 2 * self.split * (1.1 * spoilt + 4 * sets)
 
-    @property
-    def weak(self) -> int:
-        return 2 if self.split == 1 else 0
-
 
 def signatures(h: np.ndarray, rows: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(signature, row): for each row as the smaller or like, and as the larger one of a pair.
 
-    A set with fewer weak groups than a similar pair has unspoilt ones leaves their signatures out: one of the
-    unspoilt groups isn't weak then, whatever the other set does.
+    Signatures of few shingles say little. A set leaves out those of fewer than `enough`, which is chosen so that its
+    groups with such a signature are fewer than the unspoilt ones of a similar pair: one of the unspoilt groups then has
+    strong signatures only. Of two similar sets take the one with the larger `enough`: its strong signature, which they
+    share, is strong for the other too.
     """
     out_sig, out_row = [], []
     own = bands.of(np.maximum(sizes, 1))
@@ -127,11 +126,13 @@ def signatures(h: np.ndarray, rows: np.ndarray, sizes: np.ndarray, bands: Bands)
             part = group * bands.split + ((value >> np.uint64(40)) % np.uint64(bands.split)).astype(np.int64)
             total = (total[:, None] - group_sums(value, part, n * bands.split).reshape(n, bands.split)).ravel()
             count = (count[:, None] - np.bincount(part, minlength=n * bands.split).reshape(n, bands.split)).ravel()
+        # of each row's groups as many as a similar pair leaves unspoilt have no weaker signature than this
         row = np.repeat(np.arange(len(sizes)), m)
-        weak = count <= bands.weak
-        safe = np.bincount(row, weights=weak.reshape(n, bands.split).any(1), minlength=len(sizes)) < m - spoilt
+        least = count.reshape(n, bands.split).min(1)
+        enough, some = np.zeros(len(sizes), np.int64), m > 0
+        enough[some] = least[np.lexsort((least, row))][(base[:-1] + m - spoilt - 1)[some]]
         row = np.repeat(row, bands.split)
-        keep = ~(weak & safe[row])
+        keep = count >= enough[row]
         index = np.arange(len(row)) - base[row] * bands.split
         tag = home[row].astype(np.uint64) * np.uint64(0x100000001B3) + index.astype(np.uint64)
         out_sig.append(mix(total + mix(tag)).view(np.int64)[keep])
@@ -277,6 +278,7 @@ def near_rows(docs: DataFrame, k: int, share: float) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     bands = Bands(share)
 
+    @lean
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, h, rows, sizes in sets_of(b.column(1), k):
@@ -289,6 +291,7 @@ def near_rows(docs: DataFrame, k: int, share: float) -> DataFrame:
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
     parts = 1 + int(bands.most_signatures(total["n"], total["rows"])) // PART_SIGNATURES
 
+    @lean
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -299,7 +302,7 @@ def near_rows(docs: DataFrame, k: int, share: float) -> DataFrame:
             for _, h, rows, sizes in sets_of(b.column(0), k):
                 s, r = signatures(h, rows, sizes, bands)
                 held.append((s, class_keys(h, rows, len(sizes))[r]))
-                if sum(len(s) for s, _ in held) >= PART_SIGNATURES:
+                if sum(len(s) for s, _ in held) >= HELD_SIGNATURES:
                     yield answer()
                     held.clear()
         if any(len(s) for s, _ in held):
@@ -328,6 +331,7 @@ def near_rows(docs: DataFrame, k: int, share: float) -> DataFrame:
     up = F.transform(upto(F.col("blocks_above")), lambda x: tile(band, own, F.lit(1), x, yes, merged & (x == 0)))
     down = F.transform(upto(F.col("blocks_below")), lambda x: tile(band - 1, x, F.lit(1), own, no, yes))
 
+    @lean
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, h, rows, sizes in sets_of(b.column(1), k):
