@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacunar.llm._dist import salt
-from lacunar.llm._text import lowered, mix, slices, span_hashes, words
+from lacunar.llm._text import lean, lowered, mix, slices, span_hashes, words
 from lacunar.sources.store import stored
 
 HELD_OUT = (7, 2)
@@ -292,6 +292,7 @@ def in_training(of: int = HELD_OUT[0], held: int = HELD_OUT[1]) -> Column:
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(h, code, c): how often each token is in the texts, ends among them; counted per batch before the shuffle."""
 
+    @lean
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = [(np.array([END_HASH]), np.zeros(1, np.int32), np.array([b.num_rows]))]
@@ -348,6 +349,7 @@ def prepared(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
     width = id_type(vocab.classes)
 
+    @lean
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
         for b in batches:
@@ -471,6 +473,7 @@ def score_documents(docs: DataFrame, hidden: int = HIDDEN, broadcast_counts: int
     p = fit(rows.where(in_training()).select("key", "ids"), vocab, hidden)
     shared = docs.sparkSession.sparkContext.broadcast((p, vocab.classes))
 
+    @lean
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, classes = shared.value
         for b in batches:

@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lacunar.llm._dist import row_of
 from lacunar.llm._labels import labelled_sample, remainder
-from lacunar.llm._text import lowered, slices, word_hashes
+from lacunar.llm._text import lean, lowered, slices, word_hashes
 
 #: At most so many labelled rows are learned from.
 SAMPLE_ROWS = 4096
@@ -113,6 +113,7 @@ class Model:
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many documents each feature is, over all documents; FEATURES rows reach the driver."""
 
+    @lean
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, n = np.zeros(FEATURES, np.int64), 0
@@ -136,6 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
     df, n = document_frequencies(docs)
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
 
+    @lean
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, x in features(b.column(0)):
@@ -165,6 +167,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select(row_of(docs))
     schema = StructType([rows.schema["row"], StructField("score", DoubleType())])
 
+    @lean
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row = b.column(0)

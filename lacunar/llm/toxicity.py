@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacunar.llm._labels import labelled_sample, remainder
-from lacunar.llm._text import slices, word_hashes
+from lacunar.llm._text import lean, slices, word_hashes
 
 #: At most so many labelled rows are learned from.
 SAMPLE_ROWS = 12_288
@@ -109,6 +109,7 @@ def fit_arrays(words: np.ndarray, rows: np.ndarray, toxic: np.ndarray, steps: in
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
     """Learns from at most `most` labelled rows, by their distinct words."""
 
+    @lean
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, words, rows, n in words_of(b.column(0)):
@@ -132,6 +133,7 @@ def grade(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFr
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most))
 
+    @lean
     def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, words, rows, n in words_of(b.column(1)):
