@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lacunar.llm._dist import chunks_of, row_of, running_total, salt, unrolled
-from lacunar.llm._text import mix, word_counts, words
+from lacunar.llm._text import lean, mix, word_counts, words
 from lacunar.sources.store import stored
 
 BLOCK = 32
@@ -89,6 +89,7 @@ def shard_counts(n: int, shards: int, chunk: int, seed: list[int], width: int =
 def sizes_of(docs: DataFrame) -> DataFrame:
     """doc_id, source, key (a hash of the text), size (number of words) of each row."""
 
+    @lean
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(word_counts(b.column(3)))], ["doc_id", "source", "key", "size"])
@@ -112,10 +113,11 @@ def mixture(sizes: DataFrame, seed: int = 17, block: int = BLOCK, shard_slots: i
     goal = targets(n, [weights[i % len(weights)] for i in range(len(n))], share * sum(n), most)
     blocks = [-(-x // block) for x in n]
     wanted = [min(round(g * b / x), int(most * b)) if x else 0 for g, b, x in zip(goal, blocks, n)]
-    table = [(r["source"], i, n[i], goal[i], blocks[i]) for i, r in enumerate(per_source)]
-    known = spark.createDataFrame(table, "_source string, sid int, source_size long, target double, n_blocks long")
+    table = [(r["source"], i, n[i], goal[i], blocks[i], chunks_of(r["rows"])) for i, r in enumerate(per_source)]
+    known = spark.createDataFrame(table, "_source string, sid int, source_size long, target double, n_blocks long, chunks int")
     shards = max(1, -(-sum(wanted) // shard_slots))
 
+    @lean
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk in b.column(0).to_pylist():
@@ -131,6 +133,7 @@ def mixture(sizes: DataFrame, seed: int = 17, block: int = BLOCK, shard_slots: i
     counts = counts.repartition("shard", "sid")
     slots = counts.join(known.select("sid", "n_blocks"), "sid").select("shard", "sid", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("slot"))
 
+    @lean
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             shard, sid, size, slot = (np.asarray(c) for c in b.columns)
@@ -140,9 +143,8 @@ def mixture(sizes: DataFrame, seed: int = 17, block: int = BLOCK, shard_slots: i
     slots = slots.mapInArrow(mapped, "shard long, sid int, slot long, block long")
 
     docs = sizes.join(known, sizes["source"].eqNullSafe(known["_source"])).drop("_source")
-    chunks = chunks_of(sum(r["rows"] for r in per_source))
-    laid = running_total(docs.withColumn("_c", salt(chunks, "doc_id")), ["sid"], "_c", ["doc_id", "key"], F.col("size"), "begin")
-    laid = stored(laid.withColumn("_row", F.monotonically_increasing_id()).drop("_c"), "laid")
+    laid = running_total(docs.withColumn("_c", salt(F.col("chunks"), "doc_id")), ["sid"], "_c", ["doc_id", "key"], F.col("size"), "begin")
+    laid = stored(laid.withColumn("_row", F.monotonically_increasing_id()).drop("_c", "chunks"), "laid")
     parts = laid.where("size > 0").select("_row", "doc_id", "key", "sid", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block"))
     first_word = F.greatest(F.col("begin"), F.col("block") * block) - F.col("begin")
     parts = parts.select("_row", "doc_id", "key", "sid", "block", first_word.alias("first"), (F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block)).alias("words"))
@@ -179,6 +181,7 @@ def mixed_texts(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     out = met.select("row", *[F.col("parts")[c].alias(c) for c in ("first", "words", "reads")])
     schema = StructType([out.schema["row"], StructField("text", StringType())])
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
