@@ -35,8 +35,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Every row stays, with what is left of its text. Rows of one doc_id count as one document; a null doc_id or text is
     left alone.
     """
-    whole = docs.select(row_of(docs), "doc_id", "text")
-    out = lines.dedup_lines(whole)
+    out = lines.dedup_rows(docs)
     return out.select(*unrolled(docs.columns, **counted(docs, F.col("text"), F.col("n_dropped") > 0)))
 
 
