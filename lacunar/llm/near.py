@@ -156,8 +156,11 @@ def shared(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([sig[first], link, link]), np.concatenate([node[first], pairs[:, 0], pairs[:, 1]])
 
 
-def linked(sets: list[np.ndarray], nodes: np.ndarray, left: np.ndarray, right: np.ndarray, share: float) -> list[tuple[int, int]]:
-    """Links that join the classes; left and right: which classes are in either block."""
+def linked(sets: list[np.ndarray], nodes: np.ndarray, left: np.ndarray, right: np.ndarray, share: float, every: bool = False) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that join the classes, and how many links each class has among those looked at: all of them if every.
+
+    left and right: which classes are in either block. Classes that are joined already are compared only if every.
+    """
     n = len(sets)
     size = np.array([len(s) for s in sets])
     bits = 1 << max(6, min(12, int(size.max()).bit_length()))
@@ -166,9 +169,9 @@ def linked(sets: list[np.ndarray], nodes: np.ndarray, left: np.ndarray, right: n
     flags = np.zeros((n, bits), bool)
     flags[rows, bit.astype(np.int64)] = True
     maps = np.packbits(flags, axis=1).view(np.uint64)
-    label, out = np.arange(n), []
+    label, out, found = np.arange(n), [], np.zeros(n, np.int64)
     for i in np.flatnonzero(left):
-        js = np.flatnonzero(right & (label != label[i]) & (~left | (np.arange(n) > i)))
+        js = np.flatnonzero(right & (every | (label != label[i])) & (~left | (np.arange(n) > i)))
         if not len(js):
             continue
         lo, hi = np.minimum(size[i], size[js]), np.maximum(size[i], size[js])
@@ -180,15 +183,18 @@ def linked(sets: list[np.ndarray], nodes: np.ndarray, left: np.ndarray, right: n
         most = np.minimum(size[i] - mine, size[js] - theirs)
         js = js[most * (1 + share) >= share * (size[i] + size[js]) - 1e-9]
         for j in js:
-            if label[j] == label[i]:
+            joined = label[j] == label[i]
+            if joined and not every:
                 continue
             at = np.searchsorted(sets[j], sets[i])
             at[at == size[j]] = 0
             both = int((sets[j][at] == sets[i]).sum())
             if both * (1 + share) >= share * (size[i] + size[j]) - 1e-9:
-                out.append((int(nodes[i]), int(nodes[j])))
-                label[label == label[j]] = label[i]
-    return out
+                found[[i, j]] += 1
+                if not joined:
+                    out.append((int(nodes[i]), int(nodes[j])))
+                    label[label == label[j]] = label[i]
+    return out, found
 
 
 def packed(sig: np.ndarray, node: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -257,6 +263,14 @@ def near_groups(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
     return near_rows(docs, k, share).select("doc_id", "n_shingles", "component_id")
 
 
+def near_links(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
+    """near_groups with n_links: with how many other sets of shingles a row's own is linked. All candidates are verified.
+
+    Rows of one set have the same links and aren't counted as links themselves.
+    """
+    return near_rows(docs, k, share, every=True).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def one_of_each(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
     """docs without near copies: of the texts that links join, one of the smallest doc_id stays, in one row.
 
@@ -273,8 +287,8 @@ def one_of_each(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
     return one.select(*unrolled(docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
-def near_rows(docs: DataFrame, k: int, share: float) -> DataFrame:
-    """doc_id, key (hash of the text), n_shingles, component_id, label (the same for texts that links join) of each row."""
+def near_rows(docs: DataFrame, k: int, share: float, every: bool = False) -> DataFrame:
+    """doc_id, key (hash of the text), n_shingles, component_id, label (the same for texts that links join) of each row; n_links if every."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     bands = Bands(share)
 
@@ -356,13 +370,19 @@ def near_rows(docs: DataFrame, k: int, share: float) -> DataFrame:
         at = flat.offsets.to_numpy()
         values = flat.values.to_numpy().view(np.uint64)
         sets_ = [values[a:b] for a, b in zip(at, at[1:])]
-        found = linked(sets_, nodes, t.column("left").to_numpy(zero_copy_only=False), t.column("right").to_numpy(zero_copy_only=False), share) if len(nodes) > 1 else []
-        return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+        found, counts = linked(sets_, nodes, *(t.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right")), share, every) if len(nodes) > 1 else ([], np.zeros(0, np.int64))
+        some = np.flatnonzero(counts) if every else counts[:0]
+        a, b = [x[0] for x in found] + nodes[some].tolist(), [x[1] for x in found] + [None] * len(some)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(found) + counts[some].tolist(), pa.int64())], ["a", "b", "n"])
 
-    links = full.groupBy("grp", "band", "i", "up", "j").applyInArrow(joined, "a long, b long")
-    ends = components(stored(links, "links")).withColumnRenamed("component", "label")
+    links = stored(full.groupBy("grp", "band", "i", "up", "j").applyInArrow(joined, "a long, b long, n long"), "links")
+    ends = components(links.where("b is not null")).withColumnRenamed("component", "label")
     lowest = ends.join(classes, "node").groupBy("label").agg(F.min("rep").alias("low"))
     of_class = classes.join(ends, "node", "left").join(lowest, "label", "left").select("node", F.coalesce("low", "rep").alias("component_id"), F.coalesce("label", "node").alias("label"))
+    counted = []
+    if every:
+        of_class = of_class.join(links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links")), "node", "left")
+        counted = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")]
     out = sets.join(of_class, "node", "left")
     some = F.col("n") > 0
-    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("label")).otherwise(F.xxhash64("doc_id", "key")).alias("label"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("label")).otherwise(F.xxhash64("doc_id", "key")).alias("label"), *counted)

@@ -92,6 +92,10 @@ def test_near_groups(docs, empty, k, share):
     got = sorted(map(tuple, near.near_groups(docs, k, share).collect()))
     assert got == [(i, len(sets[i]), root(i)) for i in sorted(sets)]
     assert near.near_groups(empty, k, share).count() == 0
+    distinct = set(map(frozenset, sets.values()))
+    similar = lambda a, b: len(a & b) >= share * len(a | b) - 1e-9
+    got = sorted(map(tuple, near.near_links(docs, k, share).collect()))
+    assert got == [(i, len(sets[i]), root(i), sum(similar(x, sets[i]) for x in distinct if x and x != sets[i]) if sets[i] else 0) for i in sorted(sets)]
 
 
 def test_near_copies_of_random_sets():
