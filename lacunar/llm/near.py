@@ -2,8 +2,9 @@
 
 Documents with one set of shingles are a class, and only classes are compared. Two sets of like
 size that are similar enough differ in at most d shingles; with the shingles dealt by hash to
-d + 1 parts, some part is the same in both. Equal part signatures give candidate groups (every
-link lies within one). A group's classes are cut into tiles by size band and block; tiles of the
+d + 1 parts, some part is the same in both. Equal part signatures give candidate pairs; those of
+rare signatures are dropped where parity bitmaps show that the sets differ by too much. What is left
+gives candidate groups (every link lies within one). A group's classes are cut into tiles by size band and block; tiles of the
 same or the next band are compared with hashed bitmaps, whose bit counts bound the overlap from
 above, and what may still be similar by intersecting the sorted arrays. A tile gives the links
 that join its classes, never all pairs.
@@ -29,6 +30,11 @@ BLOCK_SHINGLES = 1 << 20
 BLOCK_CLASSES = 2048
 #: Signatures are dealt to parts of about so many, each sorted in memory at once.
 PART_SIGNATURES = 1 << 21
+#: Of a signature that at most so many sets have, all pairs are candidates, each of which can be ruled out.
+FEW = 16
+PARITY_BITS = 1024
+#: Signatures have the bits below this one; those with it stand for more pairs than they make.
+MARK = np.uint64(1 << 47)
 #: A task holds about so many before it sends them on.
 HELD_SIGNATURES = 1 << 19
 
@@ -135,25 +141,38 @@ def signatures(h: np.ndarray, rows: np.ndarray, sizes: np.ndarray, bands: Bands)
         keep = count >= enough[row]
         index = np.arange(len(row)) - base[row] * bands.split
         tag = home[row].astype(np.uint64) * np.uint64(0x100000001B3) + index.astype(np.uint64)
-        out_sig.append(mix(total + mix(tag)).view(np.int64)[keep])
+        out_sig.append(mix(total + mix(tag))[keep])
         out_row.append(row[keep])
     return np.concatenate(out_sig), np.concatenate(out_row)
 
 
 def shared(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row per signature, with its least node; and a row of its own for each other node and that one.
+    """(signature, node) rows, each once. Of a signature that more than FEW nodes have only the least node's row is left,
+    marked, and a marked signature of its own for each other node and that one.
 
-    So a signature has at most one row per batch, however large its group.
+    So a signature has at most FEW rows per batch, however large its group.
     """
     by = np.lexsort((node, sig))
-    sig, node = sig[by], node[by]
+    sig, node = sig[by] & MARK - np.uint64(1), node[by]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+    sig, node = sig[new], node[new]
     first = np.ones(len(sig), bool)
     first[1:] = sig[1:] != sig[:-1]
-    head = node[first][np.cumsum(first) - 1]
-    other = ~first & (node != head)
+    group = np.cumsum(first) - 1
+    many = np.bincount(group)[group] > FEW if len(group) else first
+    head = node[first][group]
+    other = many & ~first
     pairs = np.unique(np.stack([head[other], node[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    link = mix(mix(pairs[:, 0].view(np.uint64) if len(pairs) else np.zeros(0, np.uint64)) + pairs[:, 1].astype(np.uint64)).view(np.int64)
-    return np.concatenate([sig[first], link, link]), np.concatenate([node[first], pairs[:, 0], pairs[:, 1]])
+    link = (mix(mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64)) & MARK - np.uint64(1)) | MARK
+    return np.concatenate([np.where(many, sig | MARK, sig)[~other], link, link]), np.concatenate([node[~other], pairs[:, 0], pairs[:, 1]])
+
+
+def parities(h: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n sets PARITY_BITS bits: whether an odd number of its shingles fall on each. Two sets differ in at least as many shingles as bits."""
+    bit = (mix(h ^ np.uint64(0x7F4A7C15F39CC060)) % np.uint64(PARITY_BITS)).astype(np.int64)
+    odd = np.bincount(rows * PARITY_BITS + bit, minlength=n * PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool).reshape(n, PARITY_BITS), axis=1).view(np.int64)
 
 
 def linked(sets: list[np.ndarray], nodes: np.ndarray, left: np.ndarray, right: np.ndarray, share: float, every: bool = False) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -198,12 +217,11 @@ def linked(sets: list[np.ndarray], nodes: np.ndarray, left: np.ndarray, right: n
 
 
 def packed(sig: np.ndarray, node: np.ndarray, parts: int) -> pa.RecordBatch:
-    """One row per part that has signatures: its nodes, how many signatures each has, and the signatures' low 48 bits.
+    """One row per part that has signatures: its nodes, how many signatures each has, and the signatures' 48 bits.
 
-    A part is chosen by other bits than the low ones, and holds few enough signatures for these to tell them apart;
-    two that agree by chance only make a candidate more.
+    A part holds few enough signatures for these to tell them apart; two that agree by chance only make a candidate more.
     """
-    part = (mix(sig.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
+    part = (mix(sig & MARK - np.uint64(1) ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
     by = np.lexsort((node, part))
     part, node, sig = part[by], node[by], sig[by]
     first = np.ones(len(part), bool)
@@ -229,8 +247,34 @@ def _joined_bytes(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
 
 
+def pairs_of(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, firm): all pairs of the nodes of a signature that at most FEW have; of others each with the least one, firm as
+    they stand for pairs that aren't made."""
+    marked, sig = (sig & MARK) > 0, sig & MARK - np.uint64(1)
+    by = np.lexsort((node, sig))
+    sig, node, marked = sig[by], node[by], marked[by]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+    start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+    firm = np.logical_or.reduceat(marked, start) if len(start) else np.zeros(0, bool)
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(sig))))[new]
+    node = node[new]
+    size = np.bincount(group, minlength=len(start))
+    begin = np.cumsum(size) - size
+    firm |= size > FEW
+    out = []
+    for r in range(2, FEW + 1):
+        at = begin[(size == r) & ~firm]
+        i, j = np.triu_indices(r, 1)
+        out.append(np.stack([node[at[:, None] + i].ravel(), node[at[:, None] + j].ravel(), np.zeros(len(at) * len(i), np.int64)]))
+    rest = firm[group] & (node != node[begin][group]) if len(group) else np.zeros(0, bool)
+    out.append(np.stack([node[begin][group][rest], node[rest], np.ones(int(rest.sum()), np.int64)]))
+    a, b, firm = np.unique(np.concatenate(out, 1), axis=1)
+    return a, b, firm.astype(bool)
+
+
 def candidates(rows: DataFrame) -> DataFrame:
-    """(a, b): each class b and the least one a that has one of its signatures, from rows of `packed`.
+    """(a, b, firm) of classes with a signature in common, from rows of `packed`.
 
     A function of its own, so that nothing holds the largest shuffle's files when it is over.
     """
@@ -239,18 +283,25 @@ def candidates(rows: DataFrame) -> DataFrame:
         node = np.repeat(_joined_bytes(t.column("nodes")).view(np.int64), _joined_bytes(t.column("counts")).view(np.uint32))
         sig = np.zeros((len(node), 8), np.uint8)
         sig[:, :6] = _joined_bytes(t.column("sigs")).reshape(-1, 6)
-        sig = sig.view(np.int64).ravel()
-        by = np.argsort(sig)
-        sig, node = sig[by], node[by]
-        first = np.ones(len(sig), bool)
-        first[1:] = sig[1:] != sig[:-1]
-        start = np.flatnonzero(first)
-        low = np.repeat(np.minimum.reduceat(node, start), np.diff(np.append(start, len(sig))))
-        other = node != low
-        pairs = np.unique(np.stack([low[other], node[other]], 1), axis=0)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        return pa.table([pa.array(c) for c in pairs_of(sig.view(np.uint64).ravel(), node)], ["a", "b", "firm"])
+
+    met = rows.groupBy("part").applyInArrow(meet, "a long, b long, firm boolean")
+    return stored(met.groupBy("a", "b").agg(F.bool_or("firm").alias("firm")), "met")
+
 
-    return stored(rows.groupBy("part").applyInArrow(meet, "a long, b long").distinct(), "met")
+def possible(met: DataFrame, sets: DataFrame, classes: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) that may be similar: firm ones, and others whose sizes and parities don't rule it out."""
+    nodes = met.where("not firm").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = classes.join(nodes, "node", "left_semi").select(F.col("node").alias("its"), "rep")
+    known = sets.join(chosen, (F.col("node") == F.col("its")) & (F.col("doc_id") == F.col("rep"))).select("node", "n", "parity").dropDuplicates(["node"])
+    known = stored(known, "parities")
+    side = lambda x: known.select(F.col("node").alias(x), F.struct("n", "parity").alias(f"of_{x}"))
+    loose = met.where("not firm").join(side("a"), "a").join(side("b"), "b")
+    n_a, n_b = F.col("of_a.n"), F.col("of_b.n")
+    differ = F.aggregate(F.zip_with("of_a.parity", "of_b.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # similar sets differ in at most (1 - share) / (1 + share) of both sizes
+    near_ = (differ <= (n_a + n_b) * ((1 - share) / (1 + share)) + 1e-6) & (F.least(n_a, n_b) >= F.greatest(n_a, n_b) * share - 1e-6)
+    return met.where("firm").select("a", "b").unionByName(loose.where(near_).select("a", "b"))
 
 
 def near_groups(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
@@ -297,10 +348,12 @@ def near_rows(docs: DataFrame, k: int, share: float, every: bool = False) -> Dat
         for b in batches:
             for i, h, rows, sizes in sets_of(b.column(1), k):
                 n = len(sizes)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(2).slice(i, n), pa.array(sizes), pa.array(class_keys(h, rows, n))], ["doc_id", "key", "n", "node"])
+                width = PARITY_BITS // 64
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(parities(h, rows, n).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(2).slice(i, n), pa.array(sizes), pa.array(class_keys(h, rows, n)), parity], ["doc_id", "key", "n", "node", "parity"])
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    sets = stored(keyed.mapInArrow(classed, "doc_id long, key long, n long, node long"), "sets")
+    sets = stored(keyed.mapInArrow(classed, "doc_id long, key long, n long, node long, parity array<long>"), "sets")
     classes = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
     parts = 1 + int(bands.most_signatures(total["n"], total["rows"])) // PART_SIGNATURES
@@ -324,7 +377,7 @@ def near_rows(docs: DataFrame, k: int, share: float, every: bool = False) -> Dat
 
     met = candidates(docs.select("text").mapInArrow(signed, "part long, nodes binary, counts binary, sigs binary"))
     release(docs.sparkSession)
-    groups = components(met).withColumnRenamed("component", "grp")
+    groups = components(possible(met, sets, classes, share)).withColumnRenamed("component", "grp")
 
     edge = F.floor(F.log(F.col("n").cast("double")) / math.log(band_ratio(share)) + 1e-9).cast("int")
     members = stored(groups.join(classes, "node").withColumn("band", edge), "members")

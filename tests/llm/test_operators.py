@@ -114,6 +114,42 @@ def test_near_copies_of_random_sets():
         assert len(np.intersect1d(one, two))
 
 
+@pytest.mark.parametrize("share", [0.8, 0.9])
+def test_candidates_keep_every_similar_pair_together(share):
+    rng = np.random.default_rng(5)
+    common = [rng.integers(1, 1 << 62, int(n)) for n in rng.integers(2, 30, 12)]
+    sets = []
+    for _ in range(150):
+        own = [rng.integers(1, 1 << 62, int(rng.integers(1, 40))), *[common[i] for i in rng.integers(0, 12, rng.integers(0, 4))]]
+        base = np.unique(np.concatenate(own))
+        for _ in range(int(rng.choice([1, 1, 2, 3, 20]))):
+            x = base[rng.random(len(base)) > rng.choice([0, 0.02, 0.1])]
+            sets.append(np.unique(np.concatenate([x, rng.integers(1, 1 << 62, int(rng.integers(0, 3)))])).astype(np.uint64))
+    sets = [x for x in {x.tobytes(): x for x in sets if len(x)}.values()]
+    bands, size, parity = near.Bands(share), np.array([len(x) for x in sets]), near.parities(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), len(sets))
+    rows = []
+    for part in np.array_split(rng.permutation(len(sets)), 3):
+        h, r = np.concatenate([sets[i] for i in part]), np.repeat(np.arange(len(part)), size[part])
+        sig, row = near.signatures(h, r, size[part], bands)
+        rows.append(near.shared(sig, part[row].astype(np.int64)))
+    a, b, firm = near.pairs_of(*(np.concatenate(c) for c in zip(*rows)))
+    differ = np.bitwise_count((parity[a] ^ parity[b]).view(np.uint64)).sum(1)
+    truly = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    assert (differ <= truly).all() and firm.any() and not firm.all()
+    keep = firm | (differ <= (size[a] + size[b]) * (1 - share) / (1 + share) + 1e-6)
+    label = np.arange(len(sets))
+    for i, j in zip(a[keep], b[keep]):
+        label[label == label[j]] = label[i]
+    links = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= share * (size[i] + size[j] - both):
+                links += 1
+                assert label[i] == label[j]
+    assert links > 200
+
+
 def test_fingerprints(docs, empty):
     got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(docs, buckets=3).collect()}
     order = source(docs)[::-1]
