@@ -416,3 +416,18 @@ def test_stream_of_cells(spark, tmp_path):
         impute_stream(stream, str(tmp_path / "table"), str(tmp_path / "out"), mean_impute, str(tmp_path / "state")).awaitTermination()
         got = {r["feature"]: r["vals"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
         assert got == {"a": [1.0, 3.0], "b": [5.0, 7.0 if more else 5.0]}
+
+
+def test_cells_of_many_samples_are_tuned(spark, tmp_path):
+    """More samples than an int holds hundred thousands of."""
+    n = 22_000
+    days = ", ".join(f"timestamp'2024-01-{d:02d}'" for d in (1, 2, 3, 4))
+    events = spark.range(n).select(F.col("id").alias("user_id"), F.explode(F.expr(f"array({days})")).alias("ts")).withColumn("value", (F.col("user_id") * 7 + F.dayofmonth("ts") * 3) % 101 + F.lit(0.5))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    hidden = lambda i, j: pow(h := (i * 7385 + j * 1934 + 1) % 10007, 3) + 17 * h
+    errors = [10.0 - ((i * 7 + (j + 1) * 3) % 101 + 0.5) for i in range(n) for j in range(4) if hidden(i, j) % 997 < 100]
+    got = {r["metric"]: (r["n"], r["n_miss"], r["estimate"]) for r in catalogue.tune_custom(spark, str(tmp_path)).collect()}
+    assert got == {"mae": (len(errors), 0, pytest.approx(np.abs(errors).mean(), abs=1e-6)), "rmse": (len(errors), 0, pytest.approx(np.sqrt(np.square(errors).mean()), abs=1e-6))}
+    m = catalogue.user_days(spark, str(tmp_path))
+    pairs = tune(m, [{"k": 1}], "knn_imp", catalogue.deterministic_cells(m, 1)).first()
+    assert pairs["error"] is None and len(pairs["result"]) == len(errors) and all(p["estimate"] is not None for p in pairs["result"])
