@@ -2,8 +2,8 @@
 
 Documents with one set of shingles are a class, and only classes are compared. Two sets of like
 size that are similar enough differ in at most d shingles; with the shingles dealt by hash to
-d + 1 parts, some part is the same in both. Equal part signatures give candidate pairs; those of
-rare signatures are dropped where parity bitmaps show that the sets differ by too much. What is left
+d + 1 parts, some part is the same in both. Equal part signatures give candidate pairs; those are
+dropped where parity bitmaps show that the sets differ by too much. What is left
 gives candidate groups (every link lies within one). A group's classes are cut into tiles by size band and block; tiles of the
 same or the next band are compared with hashed bitmaps, whose bit counts bound the overlap from
 above, and what may still be similar by intersecting the sorted arrays. A tile gives the links
@@ -30,11 +30,15 @@ BLOCK_SHINGLES = 1 << 20
 BLOCK_CLASSES = 2048
 #: Signatures are dealt to parts of about so many, each sorted in memory at once.
 PART_SIGNATURES = 1 << 21
-#: Of a signature that at most so many sets have, all pairs are candidates, each of which can be ruled out.
+#: Of a signature that at most so many sets have, all pairs are candidates, each of which can be ruled out. The sets of
+#: others meet in tiles of two blocks of about FIRM_BLOCK, and a task compares about FIRM_ROWS.
 FEW = 16
+FIRM_BLOCK = 4096
+FIRM_ROWS = 1 << 15
+#: Of small sets; larger ones have more.
 PARITY_BITS = 1024
-#: Signatures have the bits below this one; those with it stand for more pairs than they make.
-MARK = np.uint64(1 << 47)
+#: The bits that signatures have.
+SIGNATURE = np.uint64((1 << 48) - 1)
 #: A task holds about so many before it sends them on.
 HELD_SIGNATURES = 1 << 19
 
@@ -147,32 +151,57 @@ def signatures(h: np.ndarray, rows: np.ndarray, sizes: np.ndarray, bands: Bands)
 
 
 def shared(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, node) rows, each once. Of a signature that more than FEW nodes have only the least node's row is left,
-    marked, and a marked signature of its own for each other node and that one.
-
-    So a signature has at most FEW rows per batch, however large its group.
-    """
+    """(signature, node) rows, each once."""
     by = np.lexsort((node, sig))
-    sig, node = sig[by] & MARK - np.uint64(1), node[by]
+    sig, node = sig[by] & SIGNATURE, node[by]
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node = sig[new], node[new]
-    first = np.ones(len(sig), bool)
-    first[1:] = sig[1:] != sig[:-1]
-    group = np.cumsum(first) - 1
-    many = np.bincount(group)[group] > FEW if len(group) else first
-    head = node[first][group]
-    other = many & ~first
-    pairs = np.unique(np.stack([head[other], node[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    link = (mix(mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64)) & MARK - np.uint64(1)) | MARK
-    return np.concatenate([np.where(many, sig | MARK, sig)[~other], link, link]), np.concatenate([node[~other], pairs[:, 0], pairs[:, 1]])
+    return sig[new], node[new]
+
+
+def parities(h: np.ndarray, rows: np.ndarray, n: int, bits: int | np.ndarray = PARITY_BITS) -> np.ndarray:
+    """Of each of n sets so many bits (if one number is given, as a row): whether an odd number of its shingles fall on each.
+
+    Two sets differ in at least as many shingles as bits. The bits are a power of two.
+    """
+    each = np.broadcast_to(bits, n).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(each)])
+    bit = (mix(h ^ np.uint64(0x7F4A7C15F39CC060)) % each[rows].astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(start[rows] + bit, minlength=start[-1]) & 1
+    flat = np.packbits(odd.astype(bool)).view(np.int64)
+    return flat if np.ndim(bits) else flat.reshape(n, -1)
 
 
-def parities(h: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Of each of n sets PARITY_BITS bits: whether an odd number of its shingles fall on each. Two sets differ in at least as many shingles as bits."""
-    bit = (mix(h ^ np.uint64(0x7F4A7C15F39CC060)) % np.uint64(PARITY_BITS)).astype(np.int64)
-    odd = np.bincount(rows * PARITY_BITS + bit, minlength=n * PARITY_BITS) & 1
-    return np.packbits(odd.astype(bool).reshape(n, PARITY_BITS), axis=1).view(np.int64)
+def parity_bits(sizes: np.ndarray) -> np.ndarray:
+    """At least as many bits as shingles: with fewer, parities are as good as random and rule nothing out."""
+    return PARITY_BITS << np.ceil(np.log2(np.maximum(sizes, PARITY_BITS) / PARITY_BITS)).astype(np.int64)
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits each row's parities differ. Of two lengths the longer one's are folded to the shorter one's."""
+    words = min(x.shape[1], y.shape[1])
+    x, y = (np.bitwise_xor.reduce(z.view(np.uint64).reshape(len(z), -1, words), axis=1) if z.shape[1] > words else z.view(np.uint64) for z in (x, y))
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+
+
+class Parities:
+    """Rows of parities of different lengths."""
+
+    def __init__(self, column: pa.Array):
+        at, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        self.words, self.row, self.of = np.diff(at), np.zeros(len(column), np.int64), {}
+        for w in np.unique(self.words):
+            mine = np.flatnonzero(self.words == w)
+            self.row[mine] = np.arange(len(mine))
+            self.of[w] = flat[at[mine][:, None] + np.arange(w)]
+
+    def differ(self, i: np.ndarray, other: Parities, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(j), np.int64)
+        kind = np.stack([self.words[i], other.words[j]], 1)
+        for v, w in np.unique(kind, axis=0):
+            some = (kind[:, 0] == v) & (kind[:, 1] == w)
+            out[some] = differing(self.of[v][self.row[i[some]]], other.of[w][other.row[j[some]]])
+        return out
 
 
 def linked(sets: list[np.ndarray], nodes: np.ndarray, left: np.ndarray, right: np.ndarray, share: float, every: bool = False) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -221,7 +250,7 @@ def packed(sig: np.ndarray, node: np.ndarray, parts: int) -> pa.RecordBatch:
 
     A part holds few enough signatures for these to tell them apart; two that agree by chance only make a candidate more.
     """
-    part = (mix(sig & MARK - np.uint64(1) ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
+    part = (mix(sig ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
     by = np.lexsort((node, part))
     part, node, sig = part[by], node[by], sig[by]
     first = np.ones(len(part), bool)
@@ -249,26 +278,22 @@ def _joined_bytes(column: pa.ChunkedArray) -> np.ndarray:
 
 def pairs_of(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, firm): all pairs of the nodes of a signature that at most FEW have; of others each with the least one, firm as
-    they stand for pairs that aren't made."""
-    marked, sig = (sig & MARK) > 0, sig & MARK - np.uint64(1)
+    they stand for pairs that aren't made: see firm_pairs."""
     by = np.lexsort((node, sig))
-    sig, node, marked = sig[by], node[by], marked[by]
+    sig, node = sig[by], node[by]
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
-    firm = np.logical_or.reduceat(marked, start) if len(start) else np.zeros(0, bool)
-    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(sig))))[new]
-    node = node[new]
-    size = np.bincount(group, minlength=len(start))
-    begin = np.cumsum(size) - size
-    firm |= size > FEW
+    sig, node = sig[new], node[new]
+    begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(sig)))
     out = []
     for r in range(2, FEW + 1):
-        at = begin[(size == r) & ~firm]
+        at = begin[size == r]
         i, j = np.triu_indices(r, 1)
         out.append(np.stack([node[at[:, None] + i].ravel(), node[at[:, None] + j].ravel(), np.zeros(len(at) * len(i), np.int64)]))
-    rest = firm[group] & (node != node[begin][group]) if len(group) else np.zeros(0, bool)
-    out.append(np.stack([node[begin][group][rest], node[rest], np.ones(int(rest.sum()), np.int64)]))
+    head = np.repeat(node[begin], size)
+    rest = np.repeat(size > FEW, size) & (node != head)
+    out.append(np.stack([head[rest], node[rest], np.ones(int(rest.sum()), np.int64)]))
     a, b, firm = np.unique(np.concatenate(out, 1), axis=1)
     return a, b, firm.astype(bool)
 
@@ -289,19 +314,77 @@ def candidates(rows: DataFrame) -> DataFrame:
     return stored(met.groupBy("a", "b").agg(F.bool_or("firm").alias("firm")), "met")
 
 
+def alike(n: np.ndarray, parity: Parities, at: np.ndarray, left: np.ndarray, right: np.ndarray, share: float) -> list[tuple[int, int]]:
+    """Pairs that join all sets that may be similar: sizes and parities (rows at) don't rule out that they are.
+
+    left and right: which sets are in either block. What is joined already is not compared.
+    """
+    label, out, every = np.arange(len(n)), [], np.arange(len(n))
+    for i in np.flatnonzero(left):
+        js = np.flatnonzero(right & (label != label[i]) & (~left | (every > i)) & (np.minimum(n[i], n) >= np.maximum(n[i], n) * share - 1e-6))
+        if len(js):
+            js = js[parity.differ(np.repeat(at[i], len(js)), parity, at[js]) <= most_different(n[i] + n[js], share)]
+        if len(js):
+            _, one = np.unique(label[js], return_index=True)
+            out += [(int(i), int(j)) for j in js[one]]
+            label[np.isin(label, label[js])] = label[i]
+    return out
+
+
+def most_different(sizes: np.ndarray, share: float) -> np.ndarray:
+    """In how many shingles two similar sets of so many in all differ at most."""
+    return sizes * ((1 - share) / (1 + share)) + 1e-6
+
+
+def firm_pairs(firm: DataFrame, known: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, b) that join all sets which share a head and may be similar.
+
+    firm: each head (a) and the sets (b) with a signature in common with it; known: node, n, parity. So sets that share a
+    frequent signature share a head. A head's sets are dealt to blocks, each two of which meet in a tile.
+    """
+    held = firm.select(F.col("a").alias("head"), F.col("b").alias("node")).unionByName(firm.select(F.col("a").alias("head"), F.col("a").alias("node")).distinct())
+    heads = stored(held.groupBy("head").agg(F.ceil(F.count("*") / FIRM_BLOCK).cast("int").alias("blocks"), F.count("*").alias("rows")), "heads")
+    total = heads.agg(F.coalesce(F.sum(F.col("blocks") * F.col("rows")), F.lit(0)).alias("rows")).first()["rows"]
+    own, x = F.col("own"), F.col("x")
+    dealt = held.join(heads, "head").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("head", F.least(own, x).alias("i"), F.greatest(own, x).alias("j"), "node", (own <= x).alias("left"), (own >= x).alias("right")).join(known, "node")
+
+    def compared(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in ("head", "i", "j", "node")]).combine_chunks()
+        at = np.stack([t.column(c).to_numpy() for c in ("head", "i", "j")])
+        first = np.flatnonzero(np.append(True, (at[:, 1:] != at[:, :-1]).any(0)))
+        node, n, left, right = (t.column(c).to_numpy() for c in ("node", "n", "left", "right"))
+        parity, rows = Parities(t.column("parity").chunk(0)), np.arange(len(node))
+        out = [np.zeros((0, 2), np.int64)]
+        for low, high in zip(first, np.append(first[1:], len(node))):
+            joined = alike(n[low:high], parity, *(c[low:high] for c in (rows, left, right)), share)
+            out.append(node[low:high][np.array(joined, np.int64).reshape(-1, 2)])
+        a, b = np.unique(np.concatenate(out), axis=0).T
+        return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
+
+    task = F.pmod(F.xxhash64("head", "i", "j"), F.lit(1 + total // FIRM_ROWS))
+    return dealt.groupBy(task.alias("task")).applyInArrow(compared, "a long, b long")
+
+
 def possible(met: DataFrame, sets: DataFrame, classes: DataFrame, share: float) -> DataFrame:
-    """The pairs (a, b) that may be similar: firm ones, and others whose sizes and parities don't rule it out."""
-    nodes = met.where("not firm").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    """Pairs (a, b) that join all those with a signature in common that may be similar: sizes and parities don't rule it out."""
+    nodes = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = classes.join(nodes, "node", "left_semi").select(F.col("node").alias("its"), "rep")
     known = sets.join(chosen, (F.col("node") == F.col("its")) & (F.col("doc_id") == F.col("rep"))).select("node", "n", "parity").dropDuplicates(["node"])
     known = stored(known, "parities")
     side = lambda x: known.select(F.col("node").alias(x), F.struct("n", "parity").alias(f"of_{x}"))
     loose = met.where("not firm").join(side("a"), "a").join(side("b"), "b")
     n_a, n_b = F.col("of_a.n"), F.col("of_b.n")
-    differ = F.aggregate(F.zip_with("of_a.parity", "of_b.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    # similar sets differ in at most (1 - share) / (1 + share) of both sizes
-    near_ = (differ <= (n_a + n_b) * ((1 - share) / (1 + share)) + 1e-6) & (F.least(n_a, n_b) >= F.greatest(n_a, n_b) * share - 1e-6)
-    return met.where("firm").select("a", "b").unionByName(loose.where(near_).select("a", "b"))
+    loose = loose.where(F.least(n_a, n_b) >= F.greatest(n_a, n_b) * share - 1e-6).select("a", "b", (n_a + n_b).alias("n"), F.col("of_a.parity").alias("x"), F.col("of_b.parity").alias("y"))
+
+    @lean
+    def left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.arange(batch.num_rows)
+            keep = Parities(batch.column(3)).differ(rows, Parities(batch.column(4)), rows) <= most_different(batch.column(2).to_numpy(), share)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return loose.mapInArrow(left_over, "a long, b long").unionByName(firm_pairs(met.where("firm").select("a", "b"), known, share))
 
 
 def near_groups(docs: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
@@ -348,8 +431,8 @@ def near_rows(docs: DataFrame, k: int, share: float, every: bool = False) -> Dat
         for b in batches:
             for i, h, rows, sizes in sets_of(b.column(1), k):
                 n = len(sizes)
-                width = PARITY_BITS // 64
-                parity = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(parities(h, rows, n).ravel()))
+                bits = parity_bits(sizes)
+                parity = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(bits // 64)]), pa.int32()), pa.array(parities(h, rows, n, bits)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(2).slice(i, n), pa.array(sizes), pa.array(class_keys(h, rows, n)), parity], ["doc_id", "key", "n", "node", "parity"])
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))

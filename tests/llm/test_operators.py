@@ -450,3 +450,37 @@ def test_registry_covers_every_operator():
     names = queries.queries()
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_sets_of_a_frequent_signature_make_no_large_group(spark, monkeypatch):
+    monkeypatch.setattr(near, "FIRM_BLOCK", 16, raising=False)
+    rng = np.random.default_rng(7)
+    docs = [" ".join([*"all that they have in common is".split(), *(f"w{x}" for x in rng.integers(0, 1 << 30, 12))]) for _ in range(120)]
+    docs += [" ".join(f"{i % 3}x{x}" for x in range(60)) + f" {i}" for i in range(90)]  # three groups of near copies
+    texts = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    seen = []
+    possible = near.possible
+    monkeypatch.setattr(near, "possible", lambda *a: seen.append((a[0], out := possible(*a))) or out)
+    got = {r["doc_id"]: r["component_id"] for r in near.near_groups(texts).collect()}
+    assert got == {i: i if i < 120 else 120 + i % 3 for i in range(210)}
+    met, out = seen[0]
+    assert met.where("firm").count()
+    groups = near.components(out).groupBy("component").count().collect()
+    assert max(r["count"] for r in groups) == 30
+
+
+@pytest.mark.parametrize("n", [700, 3000, 9000])
+def test_parities_tell_large_sets_apart(spark, n):
+    rng = np.random.default_rng(n)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n)) for _ in range(3)]
+    texts.append(texts[0] + " and " + " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n // 8)))  # over the next power of two for some n
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [np.array(sorted({hash(s) & (1 << 62) - 1 for s in shingles(t, 5)}), np.uint64) for t in texts]
+    size = np.array([len(s) for s in sets])
+    got = near.parities(np.concatenate(sets), np.repeat(np.arange(4), size), 4, near.parity_bits(size))
+    at = np.concatenate([[0], np.cumsum(near.parity_bits(size) // 64)])
+    rows = [got[a:b].reshape(1, -1) for a, b in zip(at, at[1:])]
+    differ = lambda i, j: int(near.differing(rows[i], rows[j])[0])
+    assert differ(0, 3) <= len(np.setxor1d(sets[0], sets[3])) <= near.most_different(size[0] + size[3], 0.8)
+    assert all(differ(i, j) > near.most_different(size[i] + size[j], 0.8) for i, j in ((0, 1), (0, 2), (1, 2), (1, 3)))
+    assert [r["component_id"] for r in near.near_groups(docs).orderBy("doc_id").collect()] == [0, 1, 2, 0]
