@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,10 @@ RATE = 0.01
 BROADCAST_COUNTS = 1 << 18
 SCORE_WINDOW = 32
 SCORE_BLOCK = 1 << 16
+#: Texts are taken apart in slices of about so many bytes, which a core's cache holds.
+SLICE = 1 << 17
+#: Within a block, so many tokens' scores are made at once: as many as a core's cache holds.
+CACHED_ROWS = 1 << 10
 #: exp of scores within this is exact enough as they are.
 FAR = 60.0
 #: Weights are summed over replicas in parts of so many.
@@ -83,23 +88,28 @@ def initial(mass: np.ndarray, hidden: int = HIDDEN, seed: int = 5) -> dict[str,
     return p
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
-    return x
+def by_gate(w: np.ndarray) -> np.ndarray:
+    """The columns of each gate by themselves: (3, rows, hidden). Gates apart are contiguous."""
+    return np.ascontiguousarray(w.reshape(len(w), 3, -1).transpose(1, 0, 2))
 
 
-def step(x: np.ndarray, h: np.ndarray, u: np.ndarray):
-    """One gated recurrent step; x: the input's part of the gates."""
-    n = h.shape[1]
-    a = h @ u
-    zr = sigmoid(x[:, : 2 * n] + a[:, : 2 * n])
-    z, r = zr[:, :n], zr[:, n:]
-    cand = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
-    return cand + z * (h - cand), z, r, cand, a[:, 2 * n :]
+def turned(w: np.ndarray) -> np.ndarray:
+    """by_gate's weights with those of update and reset negated: their sigmoid is 1 / (1 + exp(-x))."""
+    return w * np.array([-1, -1, 1], w.dtype)[:, None, None]
+
+
+def step(x: np.ndarray, h: np.ndarray, a: np.ndarray, zr: np.ndarray, cand: np.ndarray, out: np.ndarray) -> None:
+    """One gated recurrent step into zr, cand and out; x and a: the input's and the state's parts of the gates, turned."""
+    np.add(x[:2], a[:2], out=zr)
+    np.exp(zr, out=zr)  # where it overflows, the sigmoid is 0
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    np.multiply(zr[1], a[2], out=cand)
+    cand += x[2]
+    np.tanh(cand, out=cand)
+    np.subtract(h, cand, out=out)
+    out *= zr[0]
+    out += cand
 
 
 def exponents(s: np.ndarray) -> np.ndarray:
@@ -115,96 +125,135 @@ def by_class(y: np.ndarray, classes: int):
     cls = y // classes
     by = np.argsort(cls.astype(np.uint16), kind="stable")  # short numbers are sorted by their digits
     cls = cls[by]
-    cuts = np.searchsorted(cls, np.arange(classes + 1))
-    parts = [(c, slice(cuts[c], cuts[c + 1])) for c in np.flatnonzero(np.diff(cuts)).tolist()]
+    cuts = np.append(0, np.cumsum(np.bincount(cls, minlength=classes))).tolist()
+    parts = [(c, slice(cuts[c], cuts[c + 1])) for c in range(classes) if cuts[c] < cuts[c + 1]]
     return by, cls, y[by] - cls * classes, parts
 
 
-def inside(p: dict[str, np.ndarray], h: np.ndarray, cls: np.ndarray, parts: list) -> np.ndarray:
-    """Scores of the outputs of each token's class, tokens being in order of class."""
-    s = np.empty((len(h), len(p["c"])), h.dtype)
-    for c, i in parts:
-        np.matmul(h[i], p["O"][c].T, out=s[i])
-    s += p["o"][cls]
-    return s
-
-
-def log_probabilities(p: dict[str, np.ndarray], hs: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural log probability of each token y after the state hs."""
-    by, cls, place, parts = by_class(y, len(p["c"]))
-    h, at = hs[by], np.arange(len(y))
-    top = h @ p["C"]
-    top += p["c"]
-    total = exponents(top)
-    found = top[at, cls] / total
-    s = inside(p, h, cls, parts)
-    total = exponents(s)
-    out = np.empty(len(y))
-    out[by] = np.log(np.maximum(found, 1e-37)) + np.log(np.maximum(s[at, place] / total, 1e-37))
+def with_one(a: np.ndarray) -> np.ndarray:
+    """A last column of ones, whose weights are biases: products then add these and sum their gradients."""
+    out = np.empty((len(a), a.shape[1] + 1), a.dtype)
+    out[:, :-1], out[:, -1] = a, 1
     return out
 
 
+def softmax_weights(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the classes (hidden + 1, classes) and, in each class, of its outputs (classes, outputs, hidden + 1), biases last."""
+    return np.concatenate([p["C"], p["c"][None]]), np.concatenate([p["O"], p["o"][:, :, None]], axis=2)
+
+
+def log_probabilities(weights: tuple[np.ndarray, np.ndarray], hs: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Natural log probability of each token y after the state hs; the scores of so many tokens at once as caches hold."""
+    top, low = weights
+    by, cls, place, parts = by_class(y, len(low))
+    h, out = with_one(hs.take(by, axis=0)), np.empty(len(y))
+
+    def found(i: slice, w: np.ndarray, target: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        for a in range(i.start, i.stop, CACHED_ROWS):
+            j = slice(a, min(a + CACHED_ROWS, i.stop))
+            s = h[j] @ w
+            total = exponents(s)
+            yield j, np.log(np.maximum(s.reshape(-1).take(np.arange(len(s)) * s.shape[1] + target[j]) / total, 1e-37))
+
+    for j, logs in found(slice(0, len(y)), top, cls):
+        out[j] = logs
+    for c, i in parts:
+        for j, logs in found(i, low[c].T, place):
+            out[j] += logs
+    back = np.empty_like(out)
+    back[by] = out
+    return back
+
+
+@np.errstate(over="ignore")
 def loss_and_gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, h: np.ndarray):
     """Mean loss, gradient and last state over a window; x, y: (steps, lanes) token ids. State restarts after an end."""
     steps, lanes = x.shape
     n, k, kind = h.shape[1], len(p["c"]), h.dtype
     total = steps * lanes
     ids = x.ravel()
-    e = p["E"][ids]
-    gates = (e @ p["W"] + p["b"]).reshape(steps, lanes, 3 * n)
-    live = (x != END).astype(kind)[:, :, None]
-    kept, hs = [], np.empty((steps, lanes, n), kind)
+    e = p["E"].take(ids, axis=0)  # much faster than [ids]
+    w, u = by_gate(p["W"]), by_gate(p["U"])
+    gates = e @ turned(w)
+    gates += turned(by_gate(p["b"][None]))
+    gates = gates.reshape(3, steps, lanes, n)
+    live = np.repeat(x != END, n).astype(kind).reshape(steps, lanes, n)
+    prev, cand, hs = (np.empty((steps, lanes, n), kind) for _ in range(3))
+    a, zr, uses = np.empty((3, steps, lanes, n), kind), np.empty((2, steps, lanes, n), kind), turned(u)
     for t in range(steps):
-        prev = h * live[t]
-        h, z, r, cand, an = step(gates[t], prev, p["U"])
-        kept.append((prev, z, r, cand, an))
-        hs[t] = h
+        np.multiply(h, live[t], out=prev[t])
+        np.matmul(prev[t], uses, out=a[:, t])
+        step(gates[:, t], prev[t], a[:, t], zr[:, t], cand[t], hs[t])
+        h = hs[t]
     by, cls, place, parts = by_class(y.ravel(), k)
-    states, at = hs.reshape(total, n)[by], np.arange(total)
+    states, at = with_one(hs.reshape(total, n).take(by, axis=0)), np.arange(total) * k
 
-    def of(s: np.ndarray, target: np.ndarray) -> float:
-        """The loss of scores s, which become its gradient."""
+    def of(s: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
+        """The loss of scores s, and what their gradient, which s becomes, is yet to be multiplied by."""
         sums = exponents(s)
-        lost = float(np.log(sums).sum() - np.log(np.maximum(s[at, target], 1e-37)).sum())
-        s *= (1 / (sums * total))[:, None].astype(kind)
-        s[at, target] -= kind.type(1 / total)
-        return lost
+        cells, flat_s = at + target, s.reshape(-1)
+        got = flat_s.take(cells)
+        flat_s[cells] = got - sums
+        return float(np.log(sums).sum() - np.log(np.maximum(got, 1e-37)).sum()), (1 / (sums * total))[:, None].astype(kind)
 
     g: dict[str, np.ndarray] = {}
-    top = states @ p["C"] + p["c"]
-    loss = of(top, cls)
-    g["C"], g["c"] = states.T @ top, top.sum(0)
+    top_weights, low_weights = softmax_weights(p)
+    top = states @ top_weights
+    loss, scale = of(top, cls)
+    got = top.T @ (states * scale)
+    g["C"], g["c"] = got[:, :-1].T, got[:, -1]
     back = top @ p["C"].T
-    s = inside(p, states, cls, parts)
-    loss += of(s, place)
-    g["O"], g["o"] = np.zeros_like(p["O"]), np.zeros_like(p["o"])
+    back *= scale
+    s = np.empty((total, k), kind)
     for c, i in parts:
-        g["O"][c], g["o"][c] = s[i].T @ states[i], s[i].sum(0)
-        back[i] += s[i] @ p["O"][c]
+        np.dot(states[i], low_weights[c].T, out=s[i])
+    lost, scale = of(s, place)
+    loss += lost
+    states *= scale
+    got, low = np.zeros_like(low_weights), np.empty_like(back)
+    for c, i in parts:
+        np.dot(s[i].T, states[i], out=got[c])
+        np.dot(s[i], p["O"][c], out=low[i])
+    g["O"], g["o"] = got[:, :, :-1], got[:, :, -1]
+    low *= scale
+    back += low
     dh = np.empty_like(back)
     dh[by] = back
     dh = dh.reshape(steps, lanes, n)
-    carry, u = np.zeros((lanes, n), kind), np.ascontiguousarray(p["U"].T)
-    d_gates, d_a = np.empty((steps, lanes, 3 * n), kind), np.empty((steps, lanes, 3 * n), kind)
+    z, r = zr
+    carry, ut, rest = np.zeros((lanes, n), kind), u.transpose(0, 2, 1), 1 - z
+    one, two = np.empty((2, steps, lanes, n), kind), np.empty((2, steps, lanes, n), kind)
+    np.multiply(cand, cand, out=one[0])
+    np.subtract(1, one[0], out=one[0])
+    one[0] *= rest
+    np.subtract(prev, cand, out=one[1])
+    one[1] *= z
+    one[1] *= rest
+    two[1] = r
+    np.subtract(1, r, out=two[0])
+    two[0] *= r
+    two[0] *= a[2]
+    d = np.empty((4, steps, lanes, n), kind)  # of candidate, update, reset, and the candidate's part of the state
     for t in range(steps - 1, -1, -1):
-        prev, z, r, cand, an = kept[t]
-        d = dh[t] + carry
-        dc = d * (1 - z) * (1 - cand * cand)
-        dg, da = d_gates[t], d_a[t]
-        dg[:, :n] = d * (prev - cand) * z * (1 - z)
-        dg[:, n : 2 * n] = dc * an * r * (1 - r)
-        dg[:, 2 * n :] = dc
-        da[:, : 2 * n] = dg[:, : 2 * n]
-        np.multiply(dc, r, out=da[:, 2 * n :])
-        carry = (d * z + da @ u) * live[t]
-    d_gates = d_gates.reshape(total, 3 * n)
-    g["U"] = np.concatenate([q[0] for q in kept]).T @ d_a.reshape(total, 3 * n)
-    g["W"], g["b"] = e.T @ d_gates, d_gates.sum(0)
+        carry += dh[t]
+        np.multiply(carry, one[:, t], out=d[:2, t])
+        np.multiply(d[0, t], two[:, t], out=d[2:, t])
+        carry *= z[t]
+        for part in np.matmul(d[1:, t], ut):
+            carry += part
+        carry *= live[t]
+    d = d.reshape(4, total, n)
+    g["U"] = (prev.reshape(total, n).T @ d[1:]).transpose(1, 0, 2).reshape(n, 3 * n)
+    g["W"] = (e.T @ d[:3])[[1, 2, 0]].transpose(1, 0, 2).reshape(n, 3 * n)
+    g["b"] = (np.ones(total, kind) @ d[:3])[[1, 2, 0]].ravel()
+    de = d[0] @ w[2].T
+    de += d[1] @ w[0].T
+    de += d[2] @ w[1].T
     order = np.argsort(ids.astype(id_type(k)), kind="stable")
     ids = ids[order]
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     g["E"] = np.zeros_like(p["E"])
-    g["E"][ids[first]] = np.add.reduceat((d_gates @ p["W"].T)[order], first, axis=0)
+    g["E"][ids[first]] = np.add.reduceat(de.take(order, axis=0), first, axis=0)
     return loss / total, {name: g[name] for name in p}, h
 
 
@@ -230,23 +279,25 @@ def train(p: dict[str, np.ndarray], stream: np.ndarray, lanes: int = LANES, wind
         g = flat(g)
         if (size := float(np.sqrt(g @ g))) > 1:
             g *= np.float32(1 / size)
-        m += np.float32(0.1) * (g - m)
+        # m and v are sums, not means: 10 and 200 times the means of the gradient and of its square
+        damp = (1 - 0.9**i) / (0.1 * rate)
+        root, least = np.float32(damp * np.sqrt(0.005 / (1 - 0.995**i))), np.float32(damp * 1e-6)
+        m *= np.float32(0.9)
+        m += g
+        v *= np.float32(0.995)
         g *= g
-        g -= v
-        g *= np.float32(0.005)
         v += g
         np.sqrt(v, out=g)
-        g *= np.float32(1 / np.sqrt(1 - 0.995**i))
-        g += np.float32(1e-6)
+        g *= root
+        g += least
         np.divide(m, g, out=g)
-        g *= np.float32(rate / (1 - 0.9**i))
         w -= g
     return p
 
 
 def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, number of rows, and of their words: hashes, rows, last two bytes as a code) for runs of rows."""
-    for i, data, at in slices(texts, 1 << 22):
+    for i, data, at in slices(texts, SLICE):
         starts, ends, rows = words(data, at)
         low = lowered(data)
         last = low[ends - 1].astype(np.int32)
@@ -254,6 +305,18 @@ def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield i, len(at) - 1, span_hashes(low, starts, ends).view(np.int64), rows, last * 257 + before
 
 
+def together(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that brings equal hashes together, the hashes in it, and where a run of equal ones begins.
+
+    The order is sorted in the hashes' own low bits, which numpy does far faster than it sorts places by hash; where
+    only these bits tell two hashes apart, either may have several runs.
+    """
+    low = (1 << len(h).bit_length()) - 1
+    order = np.sort(h & ~low | np.arange(len(h))) & low
+    h = h.take(order)
+    return order, h, np.flatnonzero(np.append(len(h) > 0, h[1:] != h[:-1]))
+
+
 def spelling(code: np.ndarray, spellings: int) -> np.ndarray:
     return (mix(code.astype(np.uint64)) % np.uint64(spellings)).astype(np.int64)
 
@@ -281,8 +344,24 @@ class Vocabulary:
         """Position of each hash, and whether it is there."""
         if not len(self.hashes):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return at, self.hashes[at] == h
+        last = len(self.hashes) - 1
+        at = np.minimum(self.begins.take(self.prefix(h)), last)
+        late = np.flatnonzero(self.hashes.take(at) < h)
+        while len(late):  # hashes are even, so that hardly any of them share a prefix
+            late = late[at[late] < last]
+            at[late] += 1
+            late = late[self.hashes.take(at[late]) < h[late]]
+        return at, self.hashes.take(at) == h
+
+    def prefix(self, h: np.ndarray) -> np.ndarray:
+        bits = len(self.hashes).bit_length() + 1
+        return (h >> (64 - bits)) + (1 << (bits - 1))
+
+    @cached_property
+    def begins(self) -> np.ndarray:
+        """Position of the first hash of each prefix."""
+        count = np.bincount(self.prefix(self.hashes), minlength=1 << (len(self.hashes).bit_length() + 1))
+        return (np.cumsum(count) - count).astype(np.int32)
 
 
 def in_training(of: int = HELD_OUT[0], held: int = HELD_OUT[1]) -> Column:
@@ -297,14 +376,14 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         for b in batches:
             parts = [(np.array([END_HASH]), np.zeros(1, np.int32), np.array([b.num_rows]))]
             for _, _, h, _, code in tokens(b.column(0)):
-                u, first, c = np.unique(h, return_index=True, return_counts=True)
-                parts.append((u, code[first], c))
+                order, h, first = together(h)
+                parts.append((h[first], code.take(order.take(first)), np.diff(first, append=len(h))))
             h, code, c = (np.concatenate(x) for x in zip(*parts))
-            u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            total = np.bincount(inverse, weights=c).astype(np.int64)
+            order, h, first = together(h)
+            u, code, total = h[first], code.take(order.take(first)), np.add.reduceat(c.take(order), first)
             for i in range(0, len(u), 1 << 17):
                 j = slice(i, i + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(u[j]), pa.array(code[first[j]].astype(np.int32)), pa.array(total[j])], ["h", "code", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(u[j]), pa.array(code[j].astype(np.int32)), pa.array(total[j])], ["h", "code", "c"])
 
     return docs.select("text").mapInArrow(counted, "h long, code int, c long").groupBy("h").agg(F.min("code").alias("code"), F.sum("c").alias("c"))
 
@@ -426,6 +505,7 @@ def fit(rows: DataFrame, vocab: Vocabulary, hidden: int = HIDDEN, rounds: int =
     return unflat(x, classes, hidden)
 
 
+@np.errstate(over="ignore")
 def document_scores(p: dict[str, np.ndarray], ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Natural log probability of each document ids[begin[i]:begin[i + 1]], ends included; all documents step together."""
     n = len(begin) - 1
@@ -433,23 +513,25 @@ def document_scores(p: dict[str, np.ndarray], ids: np.ndarray, begin: np.ndarray
     size = np.diff(begin)
     by = np.argsort(-size, kind="stable")
     length, start = size[by], begin[:-1][by]
-    gates = p["E"] @ p["W"] + p["b"]
+    gates = p["E"] @ turned(by_gate(p["W"])) + turned(by_gate(p["b"][None]))
+    u, weights = turned(by_gate(p["U"])), softmax_weights(p)
     h, last = np.zeros((n, p["U"].shape[0]), gates.dtype), np.full(n, END)
     states, targets, owners, held = [], [], [], 0
 
     def settle() -> None:
         nonlocal held
         if held:
-            found = log_probabilities(p, np.concatenate(states), np.concatenate(targets))
+            found = log_probabilities(weights, np.concatenate(states), np.concatenate(targets))
             out[:] += np.bincount(np.concatenate(owners), weights=found, minlength=n)
         states.clear(), targets.clear(), owners.clear()
         held = 0
 
     live = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1 if n else 1), "right")  # those that have a token at each step
     for t, m in enumerate(live.tolist()):
-        h[:m] = step(gates[last[:m]], h[:m], p["U"])[0]
-        y = ids[start[:m] + t]
-        states.append(h[:m].copy())
+        a, after = h[:m] @ u, np.empty_like(h[:m])
+        step(gates.take(last[:m], axis=1), h[:m], a, a[:2], np.empty_like(after), after)
+        h, y = after, ids[start[:m] + t]
+        states.append(h)
         targets.append(y)
         owners.append(by[:m])
         last, held = y, held + m

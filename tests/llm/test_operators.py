@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -363,6 +365,40 @@ def test_language_model_gradient_and_carried_state():
     assert got[0] == pytest.approx(-loss * 76)
 
 
+def test_language_model_scores_in_little_memory():
+    rng = np.random.default_rng(2)
+    p, ids = lm.initial(np.full(4096, 1 / 4096)), rng.integers(0, 4096, 70_000)
+    tracemalloc.start()
+    got = lm.document_scores(p, ids, np.arange(0, 70_001, 100))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[::100] == pytest.approx([plain_log_probability(p, ids[i : i + 100]) for i in range(0, 70_000, 10_000)], rel=1e-4)
+    assert peak < 40e6  # one block's scores of all classes and outputs alone are 34 MB
+
+
+def test_language_model_finds_and_groups_hashes():
+    rng = np.random.default_rng(3)
+    h = np.sort(rng.integers(-(1 << 63), (1 << 63) - 1, 1 << 18))
+    near = np.concatenate([h[:50], h[-50:], h[:50] + 1, h[-50:] - 1, [-(1 << 63), (1 << 63) - 1, 0]])
+    for some in (h, h[:0], h[:1], h[:3], np.arange(-70, 70), np.arange(40) + (1 << 62)):
+        vocab = lm.Vocabulary(some, *[None] * 5, 0, 0, 0)
+        sought = np.concatenate([near, some[:200]])
+        at, there = vocab.find(sought)
+        assert there.tolist() == np.isin(sought, some).tolist() and (some[at[there]] == sought[there]).all()
+    for many in (near, h[:0], np.repeat(near, 3), np.arange(9)[::-1] % 4):
+        order, ordered, first = lm.together(many)
+        assert sorted(order.tolist()) == list(range(len(many))) and (many[order] == ordered).all()
+        runs = Counter(np.repeat(ordered[first], np.diff(first, append=len(many))).tolist())
+        assert runs == Counter(many.tolist()) and all(len(set(r.tolist())) == 1 for r in np.split(ordered, first[1:]) if len(r))
+    vocab, sought, took = lm.Vocabulary(h, *[None] * 5, 0, 0, 0), rng.permutation(h), {}
+    for _ in range(3):
+        for name, find in (("find", vocab.find), ("bisect", lambda x: np.searchsorted(h, x))):
+            begun = time.thread_time()
+            find(sought)
+            took[name] = min(took.get(name, 1e9), time.thread_time() - begun)
+    assert took["find"] < 0.7 * took["bisect"]
+
+
 def test_language_model_learns_from_every_training_document(spark):
     rows = [(i, f"w{i}a w{i}b w{i}c") for i in range(60)]
     d = spark.createDataFrame(rows, "doc_id long, text string").where(lm.in_training())
